@@ -102,6 +102,8 @@ def with_fixtures(names, body: str) -> str:
             ordered.append(n)
     ctes = ",\n".join(f"{n} AS ({FIXTURE_SQL[n]})" for n in ordered)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
