@@ -216,15 +216,17 @@ def header_candidates(text: Column, custom_patterns=None) -> Column:
 
 def dedupe_headers(cands: Column, tolerance: int = HEADER_TOLERANCE) -> Column:
     """Sort by (start, prio); keep a header when it starts >= tolerance after the last kept one."""
-    ordered = F.array_sort(cands)
-    empty = F.filter(ordered, lambda x: F.lit(False))
-    init = F.struct(F.lit(-(10**9)).cast("bigint").alias("last"), empty.alias("acc"))
-
     def step(state, h):
         keep = h["start"] - state["last"] >= tolerance
         return F.when(keep, F.struct(h["start"].alias("last"), F.concat(state["acc"], F.array(h)).alias("acc"))).otherwise(state)
 
-    return F.aggregate(ordered, init, step, lambda s: s["acc"])
+    def fold(ordered):
+        # the typed empty accumulator is derived from the bound array, so the
+        # candidates are computed once
+        init = F.struct(F.lit(-(10**9)).cast("bigint").alias("last"), F.filter(ordered, lambda x: F.lit(False)).alias("acc"))
+        return F.aggregate(ordered, init, step, lambda s: s["acc"])
+
+    return let(F.array_sort(cands), fold)
 
 
 def sections_from_kept(text: Column, kept: Column, custom_patterns=None, min_section_length: int = MIN_SECTION_LENGTH) -> Column:
@@ -310,11 +312,20 @@ def let(value: Column, body) -> Column:
 
 
 def parse_corpus(df: DataFrame, text_field: str = "jd_text", id_field: str = "jd_id", **kw) -> DataFrame:
-    """Long table sections(jd_id, ord, header, content, start_pos, end_pos, section_type)."""
+    """Long table sections(jd_id, ord, header, content, start_pos, end_pos, section_type).
+
+    One ``inline`` generator emits all columns, so no field extraction is
+    pushed into (and duplicated inside) the generator input.
+    """
     p = parse_structure(df, text_field, id_field, **kw)
-    return p.select(id_field, F.posexplode("sections").alias("ord", "s")).select(
-        id_field, F.col("ord").cast("int").alias("ord"), "s.*"
+    rows = F.transform(
+        "sections",
+        lambda s, i: F.struct(
+            i.alias("ord"), s["header"].alias("header"), s["content"].alias("content"), s["start_pos"].alias("start_pos"),
+            s["end_pos"].alias("end_pos"), s["section_type"].alias("section_type"),
+        ),
     )
+    return p.select(id_field, F.inline(rows))
 
 
 def headers_table(df: DataFrame, text_field: str = "jd_text", id_field: str = "jd_id", deduped: bool = False, custom_patterns=None) -> DataFrame:
@@ -358,13 +369,25 @@ def section_frequency(sections: DataFrame) -> DataFrame:
     return sections.groupBy("section_type").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
 
 
+def pattern_counts(parsed: DataFrame) -> DataFrame:
+    """Documents per ordered type sequence (the only shuffle of the structure
+    statistics: one small row per distinct pattern after partial aggregation).
+    Documents without sections have the empty pattern."""
+    return parsed.groupBy(_pattern(parsed).alias("pattern")).agg(F.count(F.lit(1)).alias("docs"))
+
+
+def _pattern_types(c: Column) -> Column:
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " -> "))
+
+
 def section_coverage(parsed: DataFrame, id_field: str = "jd_id") -> DataFrame:
-    """Share of documents (3 dp) having each type. Works on the per-document
-    arrays, so each document contributes its distinct types without a shuffle
-    of sections; the total counts documents with no section too."""
-    total = parsed.select(F.count(F.lit(1))).scalar()
-    types = parsed.select(F.explode(F.array_distinct(F.transform("sections", lambda s: s["section_type"]))).alias("section_type"))
-    return types.groupBy("section_type").agg(F.round(F.count(F.lit(1)) / total, 3).alias("coverage"))
+    """Share of documents (3 dp) having each type; documents with no
+    section count in the total. Derived from the pattern table, so the corpus
+    is parsed once."""
+    pc = pattern_counts(parsed)
+    total = pc.select(F.sum("docs")).scalar()
+    t = pc.select(F.explode(F.array_distinct(_pattern_types(F.col("pattern")))).alias("section_type"), "docs")
+    return t.groupBy("section_type").agg(F.round(F.sum("docs") / total, 3).alias("coverage"))
 
 
 def _pattern(parsed: DataFrame) -> Column:
@@ -373,43 +396,40 @@ def _pattern(parsed: DataFrame) -> Column:
 
 def structure_patterns(parsed: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
     """Ordered type sequence per document, counted, count >= min_support."""
-    return (
-        parsed.groupBy(_pattern(parsed).alias("pattern"))
-        .agg(F.count(F.lit(1)).cast("bigint").alias("count"))
-        .where(F.col("count") >= min_support)
+    return pattern_counts(parsed).where(F.col("docs") >= min_support).select(
+        "pattern", F.col("docs").cast("bigint").alias("count")
     )
 
 
 def structure_consistency(parsed: DataFrame) -> DataFrame:
     """One row. Median is the upper median (sorted[n // 2]) as in the reference.
 
-    The median comes from the histogram of section counts (few distinct
-    values), never from a sort of all documents.
+    Everything is computed from the pattern table (section count = length of
+    the pattern); its exchange is shared by the scalar subqueries, so the
+    corpus is parsed once and no document list is sorted.
     """
-    counts = parsed.select(F.size("sections").alias("n"))
-    total = counts.select(F.count(F.lit(1))).scalar()
-    hist = counts.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
+    pc = pattern_counts(parsed).withColumn("n", F.size(_pattern_types(F.col("pattern"))))
+    total = pc.select(F.sum("docs")).scalar()
+    hist = pc.groupBy("n").agg(F.sum("docs").alias("c"))
     cum = hist.withColumn("cum", F.sum("c").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
     median = cum.where(F.col("cum") >= F.floor(total / 2) + 1).select(F.min("n")).scalar()
-    pats = structure_patterns(parsed)
-    n_pats = pats.select(F.count(F.lit(1))).scalar()
-    top = pats.select(F.max("count")).scalar()
-    cov = section_coverage(parsed)
-    exp_cov = [
-        F.coalesce(cov.where(F.col("section_type") == t).select(F.max("coverage")).scalar(), F.lit(0.0)).alias(f"coverage_{t}")
-        for t in EXPECTED_SECTIONS
-    ]
-    return counts.agg(
-        F.count(F.lit(1)).cast("bigint").alias("total_jds"),
+    supported = F.col("docs") >= MIN_SUPPORT
+    types = _pattern_types(F.col("pattern"))
+    return pc.agg(
+        F.sum("docs").cast("bigint").alias("total_jds"),
         F.min("n").cast("bigint").alias("min_sections"),
         F.max("n").cast("bigint").alias("max_sections"),
-        F.round(F.avg("n"), 2).alias("mean_sections"),
+        F.round(F.sum(F.col("n") * F.col("docs")) / F.sum("docs"), 2).alias("mean_sections"),
+        F.count_if(supported).cast("bigint").alias("unique_structures"),
+        F.round(F.coalesce(F.max(F.when(supported, F.col("docs"))) / F.sum("docs"), F.lit(0.0)), 3).alias("top_structure_coverage"),
+        *[
+            F.round(F.sum(F.when(F.array_contains(types, t), F.col("docs")).otherwise(0)) / F.sum("docs"), 3).alias(f"coverage_{t}")
+            for t in EXPECTED_SECTIONS
+        ],
     ).select(
-        "*",
+        "total_jds", "min_sections", "max_sections", "mean_sections",
         median.cast("bigint").alias("median_sections"),
-        n_pats.cast("bigint").alias("unique_structures"),
-        F.round(F.coalesce(top / total, F.lit(0.0)), 3).alias("top_structure_coverage"),
-        *exp_cov,
+        "unique_structures", "top_structure_coverage", *[f"coverage_{t}" for t in EXPECTED_SECTIONS],
     )
 
 
