@@ -60,14 +60,23 @@ def clean_corpus(
     ``custom_cleaners`` (X01) maps a column to a ``Column -> Column`` function;
     a plain Python callable may be wrapped with ``F.udf(fn, useArrow=True)``.
     """
-    out = with_clean_text(df, text_field).withColumn(text_field, F.col("_clean.clean")).drop("_clean")
-    t = F.col(text_field)
-    if drop_missing_text:
-        out = out.where(t.isNotNull() & (F.length(t) > 0))
-    if min_text_length > 0:
-        # pandas compares NaN lengths as False, so missing text survives this
-        # filter when it was not dropped before.
-        out = out.where(t.isNull() | (F.length(t) >= min_text_length))
+    def keep(t):
+        cond = F.lit(True)
+        if drop_missing_text:
+            cond = cond & t.isNotNull() & (F.length(t) > 0)
+        if min_text_length > 0:
+            # pandas compares NaN lengths as False, so missing text survives
+            # this filter when it was not dropped before.
+            cond = cond & (t.isNull() | (F.length(t) >= min_text_length))
+        return cond
+
+    # The filter is applied inside a one-element generator: a plain Filter on
+    # the cleaned text would be pushed below the projection and run every
+    # cleaning regex twice (once in the filter, once in the projection).
+    others = [c for c in df.columns if c != text_field]
+    cleaned = with_clean_text(df, text_field)
+    out = cleaned.select(*others, F.explode(F.filter(F.array(F.col("_clean.clean")), keep)).alias(text_field))
+    out = out.select(*df.columns)
     for name, fn in (custom_cleaners or {}).items():
         if name in out.columns:
             out = out.withColumn(name, fn(F.col(name)))
