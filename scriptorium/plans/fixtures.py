@@ -100,8 +100,10 @@ def with_fixtures(names, body: str) -> str:
                 ordered.append(dep)
         if n not in ordered:
             ordered.append(n)
-    ctes = ",\n".join(f"{n} AS ({FIXTURE_SQL[n]})" for n in ordered)
     body = body.strip()
+    if not ordered:
+        return body
+    ctes = ",\n".join(f"{n} AS ({FIXTURE_SQL[n]})" for n in ordered)
     if body.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
