@@ -471,3 +471,10 @@ def structure_cluster_profile(vectors: DataFrame, assignments: DataFrame, types:
         F.array_join(common, ",").alias("common_sections"),
         *[F.round(t, 2).alias(f"presence_{t}") for t in types],
     )
+
+
+def cluster_gate(sections: DataFrame, min_rows: int = 10) -> DataFrame:
+    """section types with at least ``min_rows`` rows and their k =
+    min(10, max(2, n // 5))."""
+    c = sections.groupBy("section_type").agg(F.count(F.lit(1)).cast("bigint").alias("n")).where(F.col("n") >= min_rows)
+    return c.select("section_type", "n", F.least(F.lit(10), F.greatest(F.lit(2), F.floor(F.col("n") / 5))).cast("bigint").alias("k"))

@@ -274,3 +274,12 @@ def q_f05(spark, sf):
 @query("a54_section_counts", _w_f05("SELECT section_type, CAST(count(*) AS BIGINT) AS count FROM f5k GROUP BY 1"), FX)
 def q_a54(spark, sf):
     return S.section_counts(S.section_filter(_sections(spark, sf), _EMBED_TYPES))
+
+
+@query(
+    "f10_small_group_gate",
+    _w_f05("SELECT section_type, CAST(count(*) AS BIGINT) AS n, CAST(least(10, greatest(2, floor(count(*) / 5))) AS BIGINT) AS k FROM f5k GROUP BY 1 HAVING count(*) >= 10"),
+    FX,
+)
+def q_f10(spark, sf):
+    return S.cluster_gate(S.section_filter(_sections(spark, sf), _EMBED_TYPES))

@@ -134,3 +134,20 @@ def q_m02(spark, sf):
     keyed = secs.select(F.concat_ws("|", "section_type", "jd_id").alias("key"), "content")
     e = C.embed_text(keyed, text_col="content", id_field="key")
     return e.select(F.split("key", "\\|")[0].alias("section_type"), F.split("key", "\\|")[1].alias("jd_id"), F.size("features").alias("dims"))
+
+
+@query("m19_section_clustering")
+def q_m19(spark, sf):
+    """k-means per section type, k from the F10 gate (one small row per type drives the loop)."""
+    secs = S.section_filter(S.parse_corpus(fx(spark, sf, "f_sectioned")), ["summary", "responsibilities", "required_qualifications", "benefits"])
+    gate = S.cluster_gate(secs).collect()
+    keyed = secs.select(F.concat_ws("|", "section_type", "jd_id").alias("jd_id"), "section_type", "content")
+    parts = []
+    for g in gate:
+        e = C.embed_text(keyed.where(F.col("section_type") == g["section_type"]), text_col="content")
+        a, _, _ = C.kmeans(e, k=int(g["k"]), restarts=1)
+        parts.append(a.select(F.lit(g["section_type"]).alias("section_type"), F.split("jd_id", "\\|")[1].alias("jd_id"), "cluster"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
