@@ -155,7 +155,8 @@ def freq_label(entries: Column, n: int = 5) -> Column:
     txt = F.array_join(
         F.transform(
             top,
-            lambda x: F.concat(x["item"], F.lit(" ("), F.format_string("%.0f", x["freq"] * 100), F.lit("%)")),
+            # Python's "{:.0%}" rounds half to even: bround, not round
+            lambda x: F.concat(x["item"], F.lit(" ("), F.bround(x["freq"] * 100, 0).cast("bigint").cast("string"), F.lit("%)")),
         ),
         ", ",
     )

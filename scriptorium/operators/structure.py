@@ -478,3 +478,21 @@ def cluster_gate(sections: DataFrame, min_rows: int = 10) -> DataFrame:
     min(10, max(2, n // 5))."""
     c = sections.groupBy("section_type").agg(F.count(F.lit(1)).cast("bigint").alias("n")).where(F.col("n") >= min_rows)
     return c.select("section_type", "n", F.least(F.lit(10), F.greatest(F.lit(2), F.floor(F.col("n") / 5))).cast("bigint").alias("k"))
+
+
+def concat_section_vectors(sec_vecs: DataFrame, docs: DataFrame, types: list[str], dim: int, id_field: str = "jd_id") -> DataFrame:
+    """Per document the vectors of ``types`` concatenated in that order;
+    a missing type gives a zero vector, a repeated type its later section.
+
+    ``sec_vecs`` is (id, section_type, ord, vec); the pivot runs over the
+    caller's type list (bounded), one group per document.
+    """
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    p = (
+        sec_vecs.where(F.col("section_type").isin(types))
+        .groupBy(id_field)
+        .pivot("section_type", types)
+        .agg(F.max_by(F.col("vec").cast("array<double>"), F.col("ord")))
+    )
+    j = docs.select(id_field).join(p, id_field, "left")
+    return j.select(id_field, F.concat(*[F.coalesce(F.col(t), zeros) for t in types]).alias("features"))

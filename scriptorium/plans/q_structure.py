@@ -283,3 +283,27 @@ def q_a54(spark, sf):
 )
 def q_f10(spark, sf):
     return S.cluster_gate(S.section_filter(_sections(spark, sf), _EMBED_TYPES))
+
+
+_M03_TYPES = ["summary", "responsibilities", "benefits"]
+
+
+@query(
+    "m03_concat_sections",
+    W(
+        """, sv AS (SELECT jd_id, section_type, ord, [CAST(length(content) AS BIGINT), CAST(len(string_split(content, ' ')) AS BIGINT)] AS vec FROM secs),
+last AS (SELECT jd_id, section_type, arg_max(vec, ord) AS vec FROM sv GROUP BY 1, 2)
+SELECT d.jd_id, array_to_string(list_concat(
+  coalesce((SELECT vec FROM last l WHERE l.jd_id = d.jd_id AND section_type = 'summary'), [0, 0]),
+  coalesce((SELECT vec FROM last l WHERE l.jd_id = d.jd_id AND section_type = 'responsibilities'), [0, 0]),
+  coalesce((SELECT vec FROM last l WHERE l.jd_id = d.jd_id AND section_type = 'benefits'), [0, 0])), ',') AS features
+FROM f_sectioned d"""
+    ).replace("\n, sv AS", ",\nsv AS"),
+    FX,
+)
+def q_m03(spark, sf):
+    secs = _sections(spark, sf)
+    # precomputed per-section vectors: (characters, blank-separated words)
+    sv = secs.select("jd_id", "section_type", "ord", F.array(F.length("content").cast("double"), F.size(F.split("content", " ")).cast("double")).alias("vec"))
+    out = S.concat_section_vectors(sv, _doc(spark, sf).select(F.col("jd_id").cast("string")), _M03_TYPES, 2)
+    return out.select("jd_id", F.array_join(F.transform("features", lambda x: x.cast("bigint").cast("string")), ",").alias("features"))
