@@ -309,13 +309,15 @@ def _ranked_struct_list(df: DataFrame, key: str, fields) -> Column:
 def archetype_records(assign: DataFrame, meta: DataFrame, items: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """One nested record per cluster (noise excluded).
 
-    Frequencies are arrays of struct<item, freq, rank> per (category, kind),
-    distributions arrays of struct<value, share, rank>; member_ids lists every
-    member, member_count only those with an extraction.
+    Frequencies are arrays of struct<item, freq, rank> per (category, kind)
+    (bounded by the item vocabulary), distributions arrays of struct<value,
+    share> (bounded by the field's values).  member_total counts every member,
+    member_count only those with an extraction; the member ids themselves stay
+    a long table (``archetype_members``) - a cluster can hold a third of all
+    records, so its ids are never gathered into one row.
     """
     a = exclude_noise(assign)
     mc = member_counts(a, items).where(F.col("member_count") > 0)
-    ids = a.groupBy("cluster").agg(F.array_sort(F.collect_list("jd_id")).alias("member_ids"))
     freq = item_frequency(a, items)
     fmaps = freq.groupBy("cluster").pivot("category").agg(
         *[
@@ -334,12 +336,17 @@ def archetype_records(assign: DataFrame, meta: DataFrame, items: DataFrame, vect
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]).alias("representative_titles")
     )
     years = years_stats(a, meta, items)
-    out = mc.join(ids, "cluster").join(titles, "cluster", "left").join(dists, "cluster", "left").join(fmaps, "cluster", "left").join(years, "cluster", "left")
+    out = mc.join(titles, "cluster", "left").join(dists, "cluster", "left").join(fmaps, "cluster", "left").join(years, "cluster", "left")
     if vectors is not None:
         out = out.join(centroid_arrays(centroids(vectors, a)), "cluster", "left")
     return out.withColumn("created_at", F.current_timestamp())
 
 
+def archetype_members(assign: DataFrame) -> DataFrame:
+    """A37 member_ids as a long table (cluster, jd_id), noise excluded."""
+    return exclude_noise(assign).select("cluster", "jd_id")
+
+
 def skill_totals(assign: DataFrame, items: DataFrame, top: int = 30) -> DataFrame:
     """Sum over archetypes of freq x members, top 30 skills."""
     a = exclude_noise(assign)

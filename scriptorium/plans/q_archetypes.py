@@ -252,7 +252,7 @@ def q_a37(spark, sf):
     return r.select(
         "cluster",
         "member_count",
-        F.size("member_ids").cast("bigint").alias("n_member_ids"),
+        F.col("member_total").cast("bigint").alias("n_member_ids"),
         n_freq.cast("bigint").alias("n_frequencies"),
         F.size("representative_titles").cast("bigint").alias("n_titles"),
         n_dist.cast("bigint").alias("n_distribution_values"),
