@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.numeric import rnd
+
 # --- fixed values ----------------------------------------------------------
 SKILL_CATEGORIES = ["technical", "domain", "soft"]
 KINDS = ["required", "preferred"]
@@ -63,7 +65,7 @@ def cluster_summary(assign: DataFrame) -> DataFrame:
     return assign.agg(
         F.count_distinct(F.when(~noise, F.col("cluster"))).cast("bigint").alias("n_clusters"),
         F.count_if(noise).cast("bigint").alias("n_noise"),
-        F.round(F.count_if(noise) / _n(), 4).alias("noise_ratio"),
+        rnd(F.count_if(noise) / _n(), 4).alias("noise_ratio"),
     )
 
 
@@ -92,10 +94,10 @@ def cluster_composition(df: DataFrame, fields, top: int = TOP_VALUES) -> DataFra
         "field",
         "top_values",
         F.when(pct > DOMINANT_SHARE_PCT, F.col("_top.value")).alias("dominant"),
-        F.round(pct, 1).alias("dominant_pct"),
+        rnd(pct, 1).alias("dominant_pct"),
         "unique_values",
         F.col("size").cast("bigint").alias("size"),
-        F.round(F.col("size") * 100.0 / total, 2).alias("percentage"),
+        rnd(F.col("size") * 100.0 / total, 2).alias("percentage"),
     )
 
 
@@ -112,7 +114,7 @@ def cluster_purity(df: DataFrame, label: str, drop_noise: bool = False) -> DataF
     return m.select(
         "cluster",
         F.col(label).cast("string").alias("dominant_label"),
-        F.round(F.col("mode_count") / F.col("size"), 3).alias("purity"),
+        rnd(F.col("mode_count") / F.col("size"), 3).alias("purity"),
         F.col("size").cast("bigint").alias("size"),
         F.col("mode_count").cast("bigint").alias("mode_count"),
     )
@@ -122,7 +124,7 @@ def overall_purity(df: DataFrame, label: str, drop_noise: bool = False) -> DataF
     """overall = sum of mode counts / rows; mean of the per-cluster (rounded) purities."""
     p = cluster_purity(df, label, drop_noise)
     return p.agg(
-        F.round(F.sum("mode_count") / F.sum("size"), 3).alias("overall_purity"),
+        rnd(F.sum("mode_count") / F.sum("size"), 3).alias("overall_purity"),
         F.avg("purity").alias("mean_purity"),
         _n().cast("bigint").alias("n_clusters"),
     )

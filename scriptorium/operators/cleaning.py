@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.numeric import rnd
+
 from scriptorium.functions.text import (
     MIN_TEXT_LENGTH,
     fix_mojibake,
@@ -100,16 +102,16 @@ def cleaning_stats(
         n.cast("bigint").alias("total_records"),
         F.count_if(has).cast("bigint").alias("records_with_text"),
         F.count_if(~has | clean.isNull()).cast("bigint").alias("records_missing_text"),
-        F.round(F.count_if(has) / F.greatest(n, F.lit(1)), 3).alias("text_coverage_rate"),
+        rnd(F.count_if(has) / F.greatest(n, F.lit(1)), 3).alias("text_coverage_rate"),
         F.count_if(F.col("_clean.html_changed")).cast("bigint").alias("html_tags_removed"),
         F.count_if(F.col("_clean.ws_changed")).cast("bigint").alias("extra_whitespace_cleaned"),
         F.count_if(F.col("_clean.enc_changed")).cast("bigint").alias("encoding_issues_fixed"),
         F.coalesce(F.min("_clean.len_before"), F.lit(0)).cast("bigint").alias("len_before_min"),
         F.coalesce(F.max("_clean.len_before"), F.lit(0)).cast("bigint").alias("len_before_max"),
-        F.coalesce(F.round(F.avg("_clean.len_before"), 1), F.lit(0.0)).alias("len_before_avg"),
+        F.coalesce(rnd(F.avg("_clean.len_before"), 1), F.lit(0.0)).alias("len_before_avg"),
         F.coalesce(F.min("_clean.len_after"), F.lit(0)).cast("bigint").alias("len_after_min"),
         F.coalesce(F.max("_clean.len_after"), F.lit(0)).cast("bigint").alias("len_after_max"),
-        F.coalesce(F.round(F.avg("_clean.len_after"), 1), F.lit(0.0)).alias("len_after_avg"),
+        F.coalesce(rnd(F.avg("_clean.len_after"), 1), F.lit(0.0)).alias("len_after_avg"),
         (F.count_if(~has) if drop_missing_text else F.lit(0)).cast("bigint").alias("dropped_missing_text"),
         F.count_if(too_short).cast("bigint").alias("dropped_text_too_short"),
     )
@@ -120,7 +122,7 @@ def fill_rates(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame
     """(field, rate) - non-null share per column, internal ``_`` columns skipped."""
     cols = [c for c in (columns or df.columns) if not c.startswith("_")]
     n = F.count(F.lit(1))
-    wide = df.agg(*[F.round(F.count(F.col(f"`{c}`")) / n, 3).alias(c) for c in cols])
+    wide = df.agg(*[rnd(F.count(F.col(f"`{c}`")) / n, 3).alias(c) for c in cols])
     return wide.unpivot([], cols, "field", "rate").select("field", F.coalesce("rate", F.lit(0.0)).alias("rate"))
 
 
@@ -185,7 +187,7 @@ def corpus_stats(
         F.count_distinct(title_field).cast("bigint").alias("unique_titles"),
         F.count_distinct(org_field).cast("bigint").alias("unique_org_units"),
         F.count_distinct(level_field).cast("bigint").alias("unique_levels"),
-        F.round(F.avg(ln), 1).alias("avg_text_length"),
+        rnd(F.avg(ln), 1).alias("avg_text_length"),
         F.min(ln).cast("bigint").alias("min_text_length"),
         F.max(ln).cast("bigint").alias("max_text_length"),
         F.date_format(F.min(d), "yyyy-MM-dd").alias("earliest_date"),

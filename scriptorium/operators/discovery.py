@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.numeric import rnd
+
 # --- fixed values (must equal the reference for equal results) -------------
 ID_INDICATORS = ["id", "_id", "uuid", "guid", "key", "code", "number"]
 METADATA_INDICATORS = [
@@ -116,14 +118,14 @@ def schema_summary(records: DataFrame, record_col: str = "record", max_depth: in
     return e.groupBy("path").agg(
         F.count(F.lit(1)).cast("bigint").alias("count"),
         F.count_if(t == "null").cast("bigint").alias("null_count"),
-        F.round(F.count_if(t == "null") / F.count(F.lit(1)), 3).alias("null_rate"),
+        rnd(F.count_if(t == "null") / F.count(F.lit(1)), 3).alias("null_rate"),
         F.array_join(F.array_sort(F.collect_set(t)), ",").alias("types"),
         F.min(slen).cast("bigint").alias("str_min_len"),
         F.max(slen).cast("bigint").alias("str_max_len"),
-        F.round(F.avg(slen), 1).alias("str_avg_len"),
+        rnd(F.avg(slen), 1).alias("str_avg_len"),
         F.min(alen).cast("bigint").alias("arr_min_len"),
         F.max(alen).cast("bigint").alias("arr_max_len"),
-        F.round(F.avg(alen), 1).alias("arr_avg_len"),
+        rnd(F.avg(alen), 1).alias("arr_avg_len"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(keys)))), ",").alias("nested_keys"),
         F.min("rid").alias("first_seen"),
     )

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.numeric import rnd
+
 from scriptorium.functions.dates import days_between, month_label, parse_date, quarter_label
 
 # --- fixed values ----------------------------------------------------------
@@ -26,7 +28,7 @@ def average_score(dims=DIMENSIONS) -> Column:
     """Mean of the non-null scores, 2 dp; NULL when none is set."""
     arr = F.filter(F.array(*[F.col(d).cast("double") for d in dims]), lambda x: x.isNotNull())
     total = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(arr) > 0, F.round(total / F.size(arr), 2))
+    return F.when(F.size(arr) > 0, rnd(total / F.size(arr), 2))
 
 
 def with_rubric(evals: DataFrame) -> DataFrame:
@@ -135,7 +137,7 @@ def quality_by_period(merged: DataFrame, period: str = "quarter", date_field: st
     label = quarter_label(F.col("_d")) if period == "quarter" else month_label(F.col("_d"))
     g = (
         v.groupBy(label.alias("period"))
-        .agg(F.round(F.avg("average_score"), 2).alias("mean"), F.count(F.lit(1)).cast("bigint").alias("count"))
+        .agg(rnd(F.avg("average_score"), 2).alias("mean"), F.count(F.lit(1)).cast("bigint").alias("count"))
         .where(F.col("count") >= MIN_PERIOD_COUNT)
     )
     if period == "month":
@@ -155,11 +157,11 @@ def quality_trend(merged: DataFrame, date_field: str = "posting_date") -> DataFr
         F.count_if(~recent).cast("bigint").alias("older_count"),
     ).where((F.col("recent_count") >= MIN_TREND_SIDE) & (F.col("older_count") >= MIN_TREND_SIDE))
     return s.select(
-        F.round("rm", 2).alias("recent_mean"),
+        rnd("rm", 2).alias("recent_mean"),
         "recent_count",
-        F.round("om", 2).alias("older_mean"),
+        rnd("om", 2).alias("older_mean"),
         "older_count",
-        F.round(F.col("rm") - F.col("om"), 2).alias("difference"),
+        rnd(F.col("rm") - F.col("om"), 2).alias("difference"),
         F.when(F.col("rm") > F.col("om"), "improving").when(F.col("rm") < F.col("om"), "declining").otherwise("stable").alias(
             "trend"
         ),
@@ -174,7 +176,7 @@ def quality_date_correlation(merged: DataFrame, date_field: str = "posting_date"
         F.col("r").isNotNull() & ~F.isnan("r")
     )
     return r.select(
-        F.round("r", 3).alias("coefficient"),
+        rnd("r", 3).alias("coefficient"),
         F.when(F.col("r") > 0.1, "positive (newer JDs score higher)")
         .when(F.col("r") < -0.1, "negative (older JDs score higher)")
         .otherwise("no significant correlation")

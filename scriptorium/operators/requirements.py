@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.numeric import rnd
+
 from scriptorium.functions.text import strip_code_fence
 
 # --- fixed values ----------------------------------------------------------
@@ -202,7 +204,7 @@ def empty_rate(records: DataFrame) -> DataFrame:
     sizes = {c: F.size(_both(e[c])) for c in ["licenses", "certifications", "tools", "languages"]}
     sizes.update({s: F.size(_both(e["skills"][s])) for s in SKILL_CATEGORIES})
     sizes["skills"] = sizes["technical"] + sizes["domain"] + sizes["soft"]
-    wide = records.agg(*[F.round(100 * F.avg((v == 0).cast("int")), 1).alias(k) for k, v in sizes.items()])
+    wide = records.agg(*[rnd(100 * F.avg((v == 0).cast("int")), 1).alias(k) for k, v in sizes.items()])
     return wide.unpivot([], list(sizes), "category", "empty_pct")
 
 
@@ -220,8 +222,8 @@ def _summary_join(records: DataFrame, stats: DataFrame) -> DataFrame:
     s = tot.select(
         "total",
         "successful",
-        F.round(100.0 * F.col("successful") / F.col("total"), 1).alias("success_rate"),
-        F.round(items.select(F.first("_items")).scalar() / F.col("successful"), 2).alias("avg_items_per_doc"),
+        rnd(100.0 * F.col("successful") / F.col("total"), 1).alias("success_rate"),
+        rnd(items.select(F.first("_items")).scalar() / F.col("successful"), 2).alias("avg_items_per_doc"),
         items.select(F.first("distinct_items")).scalar().alias("distinct_items"),
     )
     return s

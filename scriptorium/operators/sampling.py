@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.numeric import rnd
+
 SEED = 42
 
 
@@ -27,7 +29,7 @@ def strata_distribution(df: DataFrame, org_field: str = "org_unit", level_field:
         .agg(F.count(F.lit(1)).cast("bigint").alias("count"))
     )
     total = g.select(F.sum("count")).scalar()
-    return g.withColumn("percentage", F.round(F.col("count") * 100.0 / total, 2))
+    return g.withColumn("percentage", rnd(F.col("count") * 100.0 / total, 2))
 
 
 def _ranked_within(df: DataFrame, keys, id_field: str, seed: int, cap: int) -> DataFrame:

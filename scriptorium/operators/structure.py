@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.numeric import rnd
+
 # --- fixed values (must equal the reference for equal results) -------------
 # Section types in order, each with its header patterns (case-insensitive).
 STANDARD_SECTIONS = {
@@ -387,7 +389,7 @@ def section_coverage(parsed: DataFrame, id_field: str = "jd_id") -> DataFrame:
     pc = pattern_counts(parsed)
     total = pc.select(F.sum("docs")).scalar()
     t = pc.select(F.explode(F.array_distinct(_pattern_types(F.col("pattern")))).alias("section_type"), "docs")
-    return t.groupBy("section_type").agg(F.round(F.sum("docs") / total, 3).alias("coverage"))
+    return t.groupBy("section_type").agg(rnd(F.sum("docs") / total, 3).alias("coverage"))
 
 
 def _pattern(parsed: DataFrame) -> Column:
@@ -419,11 +421,11 @@ def structure_consistency(parsed: DataFrame) -> DataFrame:
         F.sum("docs").cast("bigint").alias("total_jds"),
         F.min("n").cast("bigint").alias("min_sections"),
         F.max("n").cast("bigint").alias("max_sections"),
-        F.round(F.sum(F.col("n") * F.col("docs")) / F.sum("docs"), 2).alias("mean_sections"),
+        rnd(F.sum(F.col("n") * F.col("docs")) / F.sum("docs"), 2).alias("mean_sections"),
         F.count_if(supported).cast("bigint").alias("unique_structures"),
-        F.round(F.coalesce(F.max(F.when(supported, F.col("docs"))) / F.sum("docs"), F.lit(0.0)), 3).alias("top_structure_coverage"),
+        rnd(F.coalesce(F.max(F.when(supported, F.col("docs"))) / F.sum("docs"), F.lit(0.0)), 3).alias("top_structure_coverage"),
         *[
-            F.round(F.sum(F.when(F.array_contains(types, t), F.col("docs")).otherwise(0)) / F.sum("docs"), 3).alias(f"coverage_{t}")
+            rnd(F.sum(F.when(F.array_contains(types, t), F.col("docs")).otherwise(0)) / F.sum("docs"), 3).alias(f"coverage_{t}")
             for t in EXPECTED_SECTIONS
         ],
     ).select(
@@ -467,9 +469,9 @@ def structure_cluster_profile(vectors: DataFrame, assignments: DataFrame, types:
     return g.select(
         "cluster",
         "size",
-        F.round(F.col("size") / total, 3).alias("percentage"),
+        rnd(F.col("size") / total, 3).alias("percentage"),
         F.array_join(common, ",").alias("common_sections"),
-        *[F.round(t, 2).alias(f"presence_{t}") for t in types],
+        *[rnd(t, 2).alias(f"presence_{t}") for t in types],
     )
 
 

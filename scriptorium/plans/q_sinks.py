@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from scriptorium.functions.numeric import rnd
+
 from scriptorium.operators import archetypes as A
 from scriptorium.operators import sampling
 from scriptorium.plans.registry import fx, query
@@ -42,7 +44,7 @@ def q_k03(spark, sf):
     path = _out(spark, "vectors")
     write_table(fx(spark, sf, "f_vectors").select("jd_id", "features"), path)
     v = spark.read.parquet(path)
-    return v.select("jd_id", F.size("features").cast("bigint").alias("dims"), F.round(F.col("features")[0].cast("double"), 6).alias("first"))
+    return v.select("jd_id", F.size("features").cast("bigint").alias("dims"), rnd(F.col("features")[0].cast("double"), 6).alias("first"))
 
 
 @query(

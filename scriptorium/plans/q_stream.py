@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scriptorium.functions.numeric import rnd
+
 from scriptorium.sources.tables import table
 from scriptorium.streaming import incremental as X
 from scriptorium.plans.registry import query
@@ -31,7 +33,7 @@ def q_x2(spark, sf):
     s = X.unseen_records(_events_stream(spark, sf), "event_id", "ts", "1 day")
     s = s.select("event_id", "event_type", F.get_json_object("props", "$.k").cast("double").alias("k"))
     out = X.run_available_now(s, X.new_run_name("extract"))
-    return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.round(F.sum("k"), 3).alias("k_sum"))
+    return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).cast("bigint").alias("n"), rnd(F.sum("k"), 3).alias("k_sum"))
 
 
 @query(
@@ -44,4 +46,4 @@ def q_x3(spark, sf):
     rows = agg.select(F.date_format(F.col("w.start"), "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "mean", "count")
     out = X.run_available_now(rows, X.new_run_name("period"), mode="update", foreach_batch=X.merge_window_rows)
     latest = X.latest_window_rows(spark, out, ["window_start", "event_type"])
-    return latest.select("window_start", "event_type", F.round("mean", 6).alias("mean"), "count")
+    return latest.select("window_start", "event_type", rnd("mean", 6).alias("mean"), "count")

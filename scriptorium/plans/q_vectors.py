@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scriptorium.functions.numeric import rnd
+
 from scriptorium.operators import clustering as C
 from scriptorium.operators import structure as S
 from scriptorium.plans.registry import fx, query
@@ -23,7 +25,7 @@ e AS (SELECT jd_id, i - 1 AS dim, CAST(features[i] AS DOUBLE) / CASE WHEN nrm >
 @query("m05_l2_normalize", f"WITH {_NORM} SELECT jd_id, CAST(dim AS BIGINT) AS dim, round(value, 6) AS value FROM e", V)
 def q_m05(spark, sf):
     v = _vec(spark, sf).select("jd_id", C.l2_normalize(F.col("features")).alias("u"))
-    return v.select("jd_id", F.posexplode("u").alias("dim", "value")).select("jd_id", F.col("dim").cast("bigint"), F.round("value", 6).alias("value"))
+    return v.select("jd_id", F.posexplode("u").alias("dim", "value")).select("jd_id", F.col("dim").cast("bigint"), rnd("value", 6).alias("value"))
 
 
 @query(
@@ -50,7 +52,7 @@ def q_m06(spark, sf):
     v = _vec(spark, sf)
     h = C.onehot(v, "label")
     j = v.join(h, "jd_id").select("jd_id", C.weighted_concat(F.col("features"), F.col("onehot"), 0.8).alias("w"))
-    return j.select("jd_id", F.posexplode("w").alias("dim", "value")).select("jd_id", F.col("dim").cast("bigint"), F.round("value", 6).alias("value"))
+    return j.select("jd_id", F.posexplode("w").alias("dim", "value")).select("jd_id", F.col("dim").cast("bigint"), rnd("value", 6).alias("value"))
 
 
 @query(
@@ -79,7 +81,7 @@ def q_m24(spark, sf):
 @query("m01_embed_text")
 def q_m01(spark, sf):
     e = C.embed_text(fx(spark, sf, "f_corpus"))
-    return e.select("jd_id", F.size("features").alias("dims"), F.round(F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+    return e.select("jd_id", F.size("features").alias("dims"), rnd(F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
 
 
 @query("m09_kmeans")
