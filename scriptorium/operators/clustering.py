@@ -18,6 +18,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.arrays import let
+
 SEED = 42
 RESTARTS = 10
 K_RANGE = [5, 10, 15, 20, 25, 30, 35, 40, 45, 50]
@@ -40,8 +42,9 @@ def embed_text(df: DataFrame, text_col: str = "jd_text", id_field: str = "jd_id"
 
 def l2_normalize(vec: Column) -> Column:
     """Unit L2 norm; a zero vector is left as is."""
-    n = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(vec, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(F.lit(1.0)))
+    # the norm is bound once: inside the element lambda it would be recomputed per element
+    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return let(norm, lambda n: F.transform(vec, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(F.lit(1.0))))
 
 
 def onehot(df: DataFrame, field: str, id_field: str = "jd_id", max_values: int = 10000) -> DataFrame:

@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.arrays import let
+
 from scriptorium.functions.numeric import rnd
 
 # --- fixed values (must equal the reference for equal results) -------------
@@ -302,17 +304,6 @@ def parse_structure(
     return df.select(F.col(id_field).cast("string").alias(id_field), t.alias("_t")).select(id_field, sections.alias("sections"))
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``.
-
-    Catalyst shares no common subexpression inside lambda functions, and
-    collapsing projections may inline an expensive column into each of its
-    uses; binding it to a lambda variable of a one-element array keeps it a
-    single evaluation per row.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def parse_corpus(df: DataFrame, text_field: str = "jd_text", id_field: str = "jd_id", **kw) -> DataFrame:
     """Long table sections(jd_id, ord, header, content, start_pos, end_pos, section_type).
 
