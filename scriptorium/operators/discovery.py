@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.arrays import let
+
 from scriptorium.functions.numeric import rnd
 
 # --- fixed values (must equal the reference for equal results) -------------
@@ -91,19 +93,20 @@ def _children(path: Column, value: Column) -> Column:
 def path_entries(records: DataFrame, record_col: str = "record", max_depth: int = 6) -> DataFrame:
     """(rid, path, value, type) for every key of every object.
 
-    Each step is one narrow ``explode``: a frontier row emits itself (done)
-    and its children (new frontier), a done row passes through.  The chain is
-    linear - no level is recomputed and nothing is shuffled before the final
-    grouping.
+    All levels of a record are built inside one projection: level k+1 is the
+    children of level k (each level bound once with ``let``), the levels are
+    concatenated and a single ``inline`` emits the rows.  Nothing is shuffled
+    before the final grouping and no row is copied per level.
     """
-    base = records.select(F.monotonically_increasing_id().alias("rid"), F.col(record_col).alias("_obj"))
-    rows = base.select(
-        "rid", F.inline(F.transform(_entries_of(F.col("_obj"), F.lit(None).cast("string")), lambda e: F.struct(e["path"].alias("path"), e["value"].alias("value"), F.lit(True).alias("frontier"))))
-    )
-    for _ in range(max_depth - 1):
-        me = F.array(F.struct(F.col("path").alias("path"), F.col("value").alias("value"), F.lit(False).alias("frontier")))
-        kids = F.transform(_children(F.col("path"), F.col("value")), lambda e: F.struct(e["path"].alias("path"), e["value"].alias("value"), F.lit(True).alias("frontier")))
-        rows = rows.select("rid", F.inline(F.when(F.col("frontier"), F.concat(me, kids)).otherwise(me)))
+    def levels(prev, depth):
+        if depth == max_depth - 1:
+            return prev
+        nxt = F.flatten(F.transform(prev, lambda e: _children(e["path"], e["value"])))
+        return F.concat(prev, let(nxt, lambda lv: levels(lv, depth + 1)))
+
+    root = _entries_of(F.col(record_col), F.lit(None).cast("string"))
+    allv = let(root, lambda lv: levels(lv, 0))
+    rows = records.select(F.monotonically_increasing_id().alias("rid"), F.inline(allv))
     return rows.select("rid", "path", "value").withColumn("type", json_type(F.col("value")))
 
 
