@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.arrays import let
+
 from scriptorium.functions.numeric import rnd
 
 from scriptorium.functions.text import strip_code_fence
@@ -241,14 +243,23 @@ def extract_education(text: Column) -> Column:
 
 
 def ngrams(text: Column, max_n: int) -> Column:
-    """Lower-case word n-grams (1..max_n) of a text, as an array of strings."""
-    words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}#+]+"), lambda w: w != "")
-    def grams_of(n):
-        # positions 1..size-n+1; an empty range when the text has fewer words
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: i + (n - 1) <= F.size(words))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    """Lower-case word n-grams (1..max_n) of a text, as an array of strings.
+
+    The word array is bound once (``let``): referenced inside the per-position
+    lambdas it would otherwise be re-split for every position.
+    """
+    def grams(words: Column) -> Column:
+        n_words = F.size(words)
 
-    return F.filter(F.concat(*[grams_of(n) for n in range(1, max_n + 1)]), lambda g: g != "")
+        def grams_of(n):
+            # positions 1..size-n+1; an empty range when the text has fewer words
+            starts = F.filter(F.sequence(F.lit(1), F.greatest(n_words - (n - 1), F.lit(1))), lambda i: i + (n - 1) <= n_words)
+            return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+        return F.filter(F.concat(*[grams_of(n) for n in range(1, max_n + 1)]), lambda g: g != "")
+
+    words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}#+]+"), lambda w: w != "")
+    return let(words, grams)
 
 
 def extract_requirements(
