@@ -65,7 +65,7 @@ def cluster_summary(assign: DataFrame) -> DataFrame:
     return assign.agg(
         F.count_distinct(F.when(~noise, F.col("cluster"))).cast("bigint").alias("n_clusters"),
         F.count_if(noise).cast("bigint").alias("n_noise"),
-        rnd(F.count_if(noise) / _n(), 4).alias("noise_ratio"),
+        rnd(F.try_divide(F.count_if(noise), _n()), 4).alias("noise_ratio"),
     )
 
 

@@ -122,7 +122,7 @@ def fill_rates(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame
     """(field, rate) - non-null share per column, internal ``_`` columns skipped."""
     cols = [c for c in (columns or df.columns) if not c.startswith("_")]
     n = F.count(F.lit(1))
-    wide = df.agg(*[rnd(F.count(F.col(f"`{c}`")) / n, 3).alias(c) for c in cols])
+    wide = df.agg(*[rnd(F.try_divide(F.count(F.col(f"`{c}`")), n), 3).alias(c) for c in cols])
     return wide.unpivot([], cols, "field", "rate").select("field", F.coalesce("rate", F.lit(0.0)).alias("rate"))
 
 

@@ -172,7 +172,11 @@ def quality_date_correlation(merged: DataFrame, date_field: str = "posting_date"
     """Pearson r of whole days since the earliest date against the score."""
     v = _gate(_valid_dated(merged, date_field))
     first = v.select(F.min("_d")).scalar()
-    r = v.agg(F.corr(days_between(F.col("_d"), first).cast("double"), F.col("average_score")).alias("r")).where(
+    x = days_between(F.col("_d"), first).cast("double")
+    y = F.col("average_score")
+    # Pearson r with a guarded denominator: no variance gives NULL (``corr``
+    # raises a division by zero under ANSI mode instead)
+    r = v.agg(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("r")).where(
         F.col("r").isNotNull() & ~F.isnan("r")
     )
     return r.select(
