@@ -224,8 +224,8 @@ def _summary_join(records: DataFrame, stats: DataFrame) -> DataFrame:
     s = tot.select(
         "total",
         "successful",
-        rnd(100.0 * F.col("successful") / F.col("total"), 1).alias("success_rate"),
-        rnd(items.select(F.first("_items")).scalar() / F.col("successful"), 2).alias("avg_items_per_doc"),
+        rnd(F.try_divide(100.0 * F.col("successful"), F.col("total")), 1).alias("success_rate"),
+        rnd(F.try_divide(items.select(F.first("_items")).scalar(), F.col("successful")), 2).alias("avg_items_per_doc"),
         items.select(F.first("distinct_items")).scalar().alias("distinct_items"),
     )
     return s
