@@ -397,15 +397,16 @@ def structure_patterns(parsed: DataFrame, min_support: int = MIN_SUPPORT) -> Dat
 def structure_consistency(parsed: DataFrame) -> DataFrame:
     """One row. Median is the upper median (sorted[n // 2]) as in the reference.
 
-    Everything is computed from the pattern table (section count = length of
-    the pattern); its exchange is shared by the scalar subqueries, so the
-    corpus is parsed once and no document list is sorted.
+    Everything comes from the pattern table (section count = length of the
+    pattern), computed once: a window over that small table (one row per
+    distinct pattern) gives the running document count, and one aggregate
+    reads the statistics and the upper median from it.  The corpus is parsed
+    once and no document list is sorted.
     """
     pc = pattern_counts(parsed).withColumn("n", F.size(_pattern_types(F.col("pattern"))))
-    total = pc.select(F.sum("docs")).scalar()
-    hist = pc.groupBy("n").agg(F.sum("docs").alias("c"))
-    cum = hist.withColumn("cum", F.sum("c").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
-    median = cum.where(F.col("cum") >= F.floor(total / 2) + 1).select(F.min("n")).scalar()
+    whole = Window.partitionBy()
+    running = Window.partitionBy().orderBy("n", "pattern").rowsBetween(Window.unboundedPreceding, 0)
+    pc = pc.withColumn("_total", F.sum("docs").over(whole)).withColumn("_cum", F.sum("docs").over(running))
     supported = F.col("docs") >= MIN_SUPPORT
     types = _pattern_types(F.col("pattern"))
     return pc.agg(
@@ -413,16 +414,13 @@ def structure_consistency(parsed: DataFrame) -> DataFrame:
         F.min("n").cast("bigint").alias("min_sections"),
         F.max("n").cast("bigint").alias("max_sections"),
         rnd(F.sum(F.col("n") * F.col("docs")) / F.sum("docs"), 2).alias("mean_sections"),
+        F.min(F.when(F.col("_cum") >= F.floor(F.col("_total") / 2) + 1, F.col("n"))).cast("bigint").alias("median_sections"),
         F.count_if(supported).cast("bigint").alias("unique_structures"),
         rnd(F.coalesce(F.max(F.when(supported, F.col("docs"))) / F.sum("docs"), F.lit(0.0)), 3).alias("top_structure_coverage"),
         *[
             rnd(F.sum(F.when(F.array_contains(types, t), F.col("docs")).otherwise(0)) / F.sum("docs"), 3).alias(f"coverage_{t}")
             for t in EXPECTED_SECTIONS
         ],
-    ).select(
-        "total_jds", "min_sections", "max_sections", "mean_sections",
-        median.cast("bigint").alias("median_sections"),
-        "unique_structures", "top_structure_coverage", *[f"coverage_{t}" for t in EXPECTED_SECTIONS],
     )
 
 
