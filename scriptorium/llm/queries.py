@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.llm.bpe import encode_documents
 from scriptorium.llm.mixing import mix
 from scriptorium.llm.registry import ORACLE, QUERIES, query
 from scriptorium.llm.sharding import shard_documents
+from scriptorium.llm.token_files import read_token_files, write_token_files
 from scriptorium.sources.tables import table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -19,6 +22,12 @@ def op1_shard_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op2_byte_bpe")
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
@@ -53,3 +62,9 @@ FROM c
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3.0)
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_token_files")
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_token_files(spark, manifest)
