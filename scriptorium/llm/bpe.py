@@ -159,8 +159,10 @@ class Encoder:
         return b"".join(map(self.replay.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-# A Python worker serves several tasks; they share its vocabulary and words.
-encoder_of = lru_cache(maxsize=1)(Encoder)
+@lru_cache(maxsize=1)
+def encoder_of(ranks_file: bytes, pattern: str) -> Encoder:
+    """A Python worker serves several tasks; they share its vocabulary and words."""
+    return Encoder(ranks_file, pattern)
 
 
 def slices(texts: list[str | None]) -> Iterator[list[str]]:

@@ -74,7 +74,10 @@ class WordEncoder:
         return [next(whole).tobytes() if o else x for x, o in zip(ids, odd, strict=True)]
 
 
-encoder_of = lru_cache(maxsize=1)(WordEncoder)
+@lru_cache(maxsize=1)
+def encoder_of(tokenizer_json: str, dtype: str) -> WordEncoder:
+    """One encoder and table of chunks for the tasks of a Python worker."""
+    return WordEncoder(tokenizer_json, dtype)
 
 
 def _file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
