@@ -10,6 +10,7 @@ from scriptorium.llm.bpe import encode_documents
 from scriptorium.llm.mixing import mix
 from scriptorium.llm.registry import ORACLE, QUERIES, query
 from scriptorium.llm.sharding import shard_documents
+from scriptorium.llm.syncmers import compare_with_edits, fingerprint_text
 from scriptorium.llm.token_files import read_token_files, write_token_files
 from scriptorium.sources.tables import table
 
@@ -64,6 +65,13 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op7_syncmers")
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = compare_with_edits(table(spark, sf_dir, "documents"))
+    prints = (fingerprint_text(F.col(c)).alias(n) for c, n in (("anchors", "fingerprint"), ("edited_anchors", "edited_fingerprint")))
+    return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *prints, "near_edited", "near_next")
+
+
 @query("op10_token_files")
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)

@@ -169,5 +169,5 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, batch_docs: int =
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    each = manifest.select("part", "ids", "offsets", "docs", "base", "id_bytes").repartition("part")
+    each = manifest.select("part", "ids", "offsets", "docs", "base", "id_bytes").repartition(max(1, manifest.count()), "part")
     return each.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
