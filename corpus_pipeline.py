@@ -1,13 +1,62 @@
-"""Training-data pipeline over ``documents``; its stages follow as the operators land."""
+"""Training-data pipeline over ``documents``: quality, repeated lines, near copies, mix, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+every stage's result to the shared folder and reads it again for the next one.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from scriptorium.llm.bpe import encode_documents
 from scriptorium.llm.common import staged
+from scriptorium.llm.line_dedup import dedup_lines
+from scriptorium.llm.mixing import mix
+from scriptorium.llm.queries import id_crc
+from scriptorium.llm.ranking import score_quality
+from scriptorium.llm.shingle_join import jaccard_components
 from scriptorium.sources.tables import table
 
-STAGES: list = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), id_crc() % 5 == 0)
+    bad = scored.filter("predicted = 0").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier line matches; documents left without words go."""
+    kept = dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+    return kept.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("removed_lines") == 0)).select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near copies."""
+    nodes = jaccard_components(docs)
+    copies = nodes.filter("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    taken = mix(docs).groupBy("doc_id").agg(F.max("repeats").alias("repeats"))
+    often = docs.join(taken, "doc_id").filter("repeats > 0")
+    return often.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix."""
+    out = encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("mix", mixed), ("tokens", tokens)]
+# The classifier and the tokenizer are not expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -150,7 +150,7 @@ class Encoder:
         words = [self.find(t) for t in texts]
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        new = list(set().union(*words) - self.known.keys())
+        new = [w for w in set().union(*words) if w not in self.known]
         ids = self.replay.encode([w.encode("utf-8") for w in new])
         self.known.update(zip(new, (x.astype("<u4").tobytes() for x in ids), strict=True))
         return [b"".join(map(self.known.__getitem__, w)) for w in words]

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.bpe import encode_documents
+from scriptorium.llm.context_mixing import score_texts
+from scriptorium.llm.line_dedup import dedup_lines
 from scriptorium.llm.mixing import mix
+from scriptorium.llm.prefix_forest import nearest
+from scriptorium.llm.ranking import score_quality
 from scriptorium.llm.registry import ORACLE, QUERIES, query
 from scriptorium.llm.sharding import shard_documents
+from scriptorium.llm.shingle_join import jaccard_components
 from scriptorium.llm.syncmers import compare_with_edits, fingerprint_text
 from scriptorium.llm.token_files import read_token_files, write_token_files
 from scriptorium.sources.tables import table
@@ -17,6 +22,10 @@ from scriptorium.sources.tables import table
 __all__ = ["ORACLE", "QUERIES"]
 
 
+def id_crc() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
 @query("op1_shard_lpt")
 def op1_shard_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"), shards=16)
@@ -65,6 +74,50 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op4_pairwise_quality")
+def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), id_crc() % 5 == 0, cut_score=0.3)
+
+
+OP5_SQL = r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+w AS (
+  SELECT DISTINCT line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM l
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+f AS (SELECT line, MIN(struct_pack(d := doc_id, a := pos)) AS first FROM l GROUP BY line),
+s AS (
+  SELECT line, list_distinct(CASE WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' ')) END) AS tokens FROM w),
+t AS (SELECT line, len(tokens) AS n, unnest(tokens) AS token FROM s),
+m AS (
+  SELECT b.line FROM t a JOIN t b ON a.token = b.token AND a.line <> b.line
+  GROUP BY a.line, b.line, a.n, b.n
+  HAVING 100 * COUNT(*) >= 75 * (a.n + b.n - COUNT(*))
+    AND (SELECT first FROM f WHERE f.line = a.line) < (SELECT first FROM f WHERE f.line = b.line)),
+k AS (
+  SELECT l.doc_id, l.pos, l.line,
+    l.line IN (SELECT line FROM w) AND (struct_pack(d := l.doc_id, a := l.pos) <> f.first OR l.line IN (SELECT line FROM m)) AS gone
+  FROM l JOIN f ON l.line = f.line)
+SELECT doc_id, COALESCE(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, SUM(gone::INT)::BIGINT AS removed_lines
+FROM k GROUP BY doc_id
+"""
+
+
+@query("op5_line_dedup", OP5_SQL)
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents"), percent=75)
+    return out.select("doc_id", "text", "removed_lines")
+
+
+@query("op6_context_mixing")
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # Blocks of neighbouring rows of a file.
+    block = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / 1500))
+    return score_texts(docs, id_crc() % 10 == 0, block)
+
+
 @query("op7_syncmers")
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = compare_with_edits(table(spark, sf_dir, "documents"))
@@ -72,6 +125,33 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *prints, "near_edited", "near_next")
 
 
+@query("op8_prefix_forest")
+def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' ')) END) AS tokens FROM w),
+t AS (SELECT doc_id, len(tokens) AS n, unnest(tokens) AS token FROM s),
+e AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.token = b.token AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * COUNT(*) >= 75 * (a.n + b.n - COUNT(*))),
+r(x, y) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT s.doc_id, CAST(len(s.tokens) AS BIGINT) AS n_shingles, (SELECT MIN(y) FROM r WHERE r.x = s.doc_id) AS component_id FROM s
+"""
+
+
+@query("op9_shingle_join", OP9_SQL)
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), percent=75)
+
+
 @query("op10_token_files")
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)

@@ -133,7 +133,8 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order = staged(next_ids(docs.select(F.col(id_col).alias("doc_id"))), "syncmer-next")
     order = order.select(key("doc_id").alias("for_key"), key("next_id").alias("key"))
 
-    first = Window.partitionBy("key").orderBy("text")
+    # Ordered by doc_id too, so that both sides read the same columns and share the exchange.
+    first = Window.partitionBy("key").orderBy("text", "doc_id")
     one = base.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("key", "text", "anchors")
     # Half of a text is known only to the row itself, so its length goes along.
     need = staged(docs.groupBy(key(id_col).alias("for_key")).agg(F.max(F.length(text)).alias("chars")), "syncmer-need")

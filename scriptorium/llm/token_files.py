@@ -52,7 +52,7 @@ class WordEncoder:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.array(e.ids, self.dtype)
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: list[str]) -> None:
         alone = [c for c in chunks if MARK in c]
         self.known.update(zip(alone, (x.tobytes() for x in self._library(alone)), strict=True))
         rest = [c for c in chunks if MARK not in c]
@@ -68,7 +68,7 @@ class WordEncoder:
             self.known.clear()
         odd = [any(c in t for c in ODD_SPACE) for t in texts]
         chunks = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        self._learn(set().union(*chunks) - self.known.keys())
+        self._learn([c for c in set().union(*chunks) if c not in self.known])
         ids = [b"".join(map(self.known.__getitem__, c)) for c in chunks]
         whole = self._library([t for t, o in zip(texts, odd, strict=True) if o])
         return [next(whole).tobytes() if o else x for x, o in zip(ids, odd, strict=True)]
