@@ -67,7 +67,7 @@ class Forest:
             # Up by one bit in all trees together, for the queries that want more.
             length[open_] = bits
             begin, end = self.ranges(codes[:, open_], length[open_])
-            enough = np.array([self._distinct(b, e) >= least for b, e in zip(begin.T, end.T, strict=True)])
+            enough = np.array([self._reaches(b, e, least) for b, e in zip(begin.T, end.T, strict=True)])
             open_[np.flatnonzero(open_)[enough]] = False
             if not open_.any():
                 break
@@ -81,9 +81,8 @@ class Forest:
             seen[self.rows[t, b:e]] = True
         return seen
 
-    def _distinct(self, begin: np.ndarray, end: np.ndarray) -> int:
-        total = int((end - begin).sum())
-        return total if total < self.rows.shape[1] // 8 else int(self._under(begin, end).sum())
+    def _reaches(self, begin: np.ndarray, end: np.ndarray, least: int) -> bool:
+        return int((end - begin).sum()) >= least and int(self._under(begin, end).sum()) >= min(least, self.rows.shape[1])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", share: float = SHARE) -> DataFrame:
@@ -97,6 +96,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     with one vector one counts.  Vectors of another length than a query's never
     meet it.  Other columns are not read.
     """
+
     def usable(df: DataFrame) -> DataFrame:
         df = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
         fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
