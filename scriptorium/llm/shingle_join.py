@@ -31,7 +31,7 @@ from scriptorium.llm.common import staged
 from scriptorium.llm.graph import components
 
 WORDS, SLOT_BITS, HOT = 5, 16, 64
-KEPT_WORDS = 600_000
+KEPT_WORDS, PROFILE = 600_000, 192
 # Up to this many ids a list of documents is broadcast (16 MB), beyond it is joined by shuffle.
 BROADCAST_IDS = 1_000_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -160,12 +160,33 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = staged(texts.mapInArrow(full, "id long, tokens binary").dropDuplicates(["id"]), "join-sets")
+    sets = staged(texts.mapInArrow(full, "id long, tokens binary"), "join-sets")
     a, b = (sets.select(F.col("id").alias(f"{s}_id"), F.col("tokens").alias(f"{s}_tokens")) for s in "ab")
     both = pairs.join(a, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id"))
     return staged(both.select("a", "b", "a_tokens", "b_tokens").mapInArrow(check, "a long, b long"), "join-links")
 
 
+def _profile(tokens: np.ndarray) -> bytes:
+    """How many tokens fall into each of PROFILE hash classes."""
+    return np.bincount((tokens >> np.uint64(40)).astype(np.int64) % PROFILE, minlength=PROFILE).clip(max=65_535).astype("<u2").tobytes()
+
+
+def _possible(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose profiles leave room for enough shared tokens: by class, no more than the smaller count."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, PROFILE).astype(np.int64) for c in ("a_profile", "b_profile"))
+            full = (np.maximum(x, y) == 65_535).any(1)
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("a_n", "b_n"))
+            room = np.minimum(x, y).sum(1)
+            yield batch.select(["a", "b"]).filter(pa.array(full | (100 * room >= percent * (n_a + n_b - room))))
+
+    a, b = (profiles.select(F.col("id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"), F.col("profile").alias(f"{s}_profile")) for s in "ab")
+    both = pairs.join(a, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id"))
+    return both.select("a", "b", "a_n", "b_n", "a_profile", "b_profile").mapInArrow(check, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) of every row.
 
@@ -186,22 +207,27 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     members = seen.filter("slot IS NULL").select("id", "n", "signature")
     reps = staged(members.filter("n > 0").groupBy("signature").agg(F.min("id").alias("rep")), "join-reps")
 
+    # Of equal sets only the representative posts.
+    copies = staged(members.join(reps, "signature").filter("id <> rep").select(F.col("id").alias("copy")).distinct(), "join-copies")
+    few = copies.count() <= BROADCAST_IDS
+    single = rows.join(F.broadcast(copies) if few else copies, rows["id"] == copies["copy"], "left_anti")
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, heads, signatures = [], [], []
-            for t in batch.column("text").to_pylist():
-                s = shingler()(t)
-                n = len(s)
-                sizes.append(n)
-                signatures.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
-                heads.append(np.sort(_rarity(classes, s))[: n + (-n * percent // 100) + 1] if n else [])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], ["id", "n", "signature", "prefix"])
-
-    heads = rows.mapInArrow(post, "id long, n long, signature binary, prefix array<long>").filter("n > 0")
-    heads = heads.join(reps.select("signature", "rep"), "signature").filter("id = rep")
-    posts = heads.select("id", "n", F.posexplode("prefix").alias("at", "token"))
+            sets = [shingler()(t) for t in batch.column("text").to_pylist()]
+            sizes = [len(s) for s in sets]
+            heads = [np.sort(_rarity(classes, s))[: n + (-n * percent // 100) + 1] if n else [] for s, n in zip(sets, sizes, strict=True)]
+            profiles = [_profile(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(profiles, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], ["id", "n", "profile", "prefix"])
+
+    # The profile goes with the first posting of a set.
+    heads = single.mapInArrow(post, "id long, n long, profile binary, prefix array<long>").filter("n > 0")
+    posts = heads.select("id", "n", "profile", F.posexplode("prefix").alias("at", "token"))
     size = F.count("*").over(Window.partitionBy("token"))
-    posts = staged(posts.select("token", "id", "n", F.col("at").cast("long").alias("at"), size.alias("sets")).filter("sets > 1"), "join-posts")
+    posts = posts.select("token", "id", "n", F.col("at").cast("long").alias("at"), F.when(F.col("at") == 0, F.col("profile")).alias("profile"))
+    posts = staged(posts.withColumn("sets", size).filter("sets > 1 OR at = 0"), "join-posts")
+    profiles = posts.filter("at = 0").select("id", "n", "profile")
+    posts = posts.filter("sets > 1").select("token", "id", "n", "at", "sets")
 
     small = posts.filter(F.col("sets") <= HOT).repartition("token").sortWithinPartitions("token", "n", "at", "id")
     near = small.select("token", "n", "at", "id").mapInArrow(lambda batches: _small_lists(batches, percent), "a long, b long")
@@ -222,7 +248,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     centre = hot.groupBy("token").agg(F.min(F.struct("at", "n", "id")).alias("c")).select("token", F.col("c.id").alias("x_id"), F.col("c.n").alias("x_n"), F.col("c.at").alias("x_at"))
     stars = ordered(centre.join(side(hot, "y"), "token").filter(reach("x", "y")))
     first = staged(near.union(stars).distinct(), "join-pairs")
-    links = _verified(first, rows, percent)
+    links = _verified(staged(_possible(first, profiles, percent), "join-possible"), single, percent)
 
     labels = components(links)
     of = hot.join(labels, "id", "left").select("token", "id", "n", "at", F.coalesce("component", "id").alias("component"))
@@ -232,7 +258,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     again = ordered(side(outside, "x").join(side(of, "y"), "token").filter(reach("x", "y") & (F.col("x_component") != F.col("y_component"))))
     again = staged(again.join(first, ["a", "b"], "left_anti"), "join-pairs")
     if again.head(1):
-        labels = components(links.union(_verified(again, rows, percent)))
+        more = _verified(staged(_possible(again, profiles, percent), "join-possible"), single, percent)
+        labels = components(links.union(more))
 
     classes_of = reps.join(labels, F.col("rep") == F.col("id"), "left").select("signature", F.coalesce("component", "rep").alias("component"))
     nodes = members.join(classes_of, "signature", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
