@@ -114,7 +114,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # Blocks of neighbouring rows of a file.
-    block = F.pmod(F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / 1500)), F.lit(1 << 22))
+    block = F.pmod(F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / 3000)), F.lit(1 << 22))
     return score_texts(docs, id_crc() % 10 == 0, block)
 
 
