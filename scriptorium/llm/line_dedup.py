@@ -103,13 +103,14 @@ def removed_lines(docs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
     # The full sets of the lines in pairs, from the documents' one exchange.
     wanted = pairs.select(F.col("a_id").alias("id"), F.col("a_ref").alias("ref")).union(pairs.select("b_id", "b_ref")).distinct()
     wanted = wanted.groupBy(_key("id").alias("k")).agg(F.collect_set("ref").alias("refs"))
-    asked = base.join(wanted, "k").select("id", "refs", F.posexplode(text_lines(F.col("text"))).alias("at", "line"))
+    asked = base.join(wanted, "k").select("k", "refs", F.posexplode(text_lines(F.col("text"))).alias("at", "line"))
     asked = asked.withColumn("ref", line_ref(F.col("at"), F.col("line"))).filter(F.array_contains("refs", F.col("ref")))
-    full = asked.select("id", "ref", F.array_distinct(shingles(F.col("line"))).alias("tokens")).dropDuplicates(["id", "ref"])
-    left = full.select(F.col("id").alias("f_id"), F.col("ref").alias("f_ref"), F.col("tokens").alias("a_tokens"))
-    right = full.select(F.col("id").alias("g_id"), F.col("ref").alias("g_ref"), F.col("tokens").alias("b_tokens"))
-    both = pairs.join(left, F.col("a_id").eqNullSafe(F.col("f_id")) & (F.col("a_ref") == F.col("f_ref")))
-    both = both.join(right, F.col("b_id").eqNullSafe(F.col("g_id")) & (F.col("b_ref") == F.col("g_ref")))
+    # One exchange of the sets, by keys without nulls, serves both joins.
+    full = asked.select("k", "ref", F.array_distinct(shingles(F.col("line"))).alias("tokens")).dropDuplicates(["k", "ref"])
+    left = full.select(F.col("k").alias("a_k"), F.col("ref").alias("a_ref"), F.col("tokens").alias("a_tokens"))
+    right = full.select(F.col("k").alias("b_k"), F.col("ref").alias("b_ref"), F.col("tokens").alias("b_tokens"))
+    both = pairs.select(_key("a_id").alias("a_k"), "a_ref", "b_id", _key("b_id").alias("b_k"), "b_ref").join(left, ["a_k", "a_ref"])
+    both = both.select("a_tokens", "b_id", "b_k", "b_ref").join(right, ["b_k", "b_ref"])
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     near = both.filter(shared >= _needed(F.size("a_tokens"), F.size("b_tokens"), percent)).select(F.col("b_id").alias("id"), F.col("b_ref").alias("ref"))
     return copies.union(near).select(_key("id").alias("k"), "ref")
