@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.arrays import let
+from scriptorium.functions.arrays import let, scan
 
 from scriptorium.functions.numeric import rnd
 
@@ -148,13 +148,18 @@ def classify_header(header: Column, custom_patterns=None) -> Column:
     return out.otherwise(F.lit("other"))
 
 
-def _line_offset(text: Column, ln: Column) -> Column:
-    before = F.call_function("substring_index", text, F.lit("\n"), ln)
-    return F.when(ln == 0, F.lit(0)).otherwise(F.length(before) + 1).cast("bigint")
+def text_lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
 
-def header_candidates(text: Column, custom_patterns=None) -> Column:
-    """Every header candidate as struct(start, prio, end, text, rule).
+def line_starts(lines: Column) -> Column:
+    """Character offset of every line of a split text."""
+    return scan(F.transform(lines, lambda x: F.length(x).cast("bigint") + 1), F.lit(0).cast("bigint"), lambda at, n: (at + n, F.array(at)))
+
+
+def header_candidates(lines: Column, custom_patterns=None) -> Column:
+    """Header candidates of a text's lines, as struct(start, prio, end,
+    text, rule, ln, pos, len); the last three place the match inside its line.
 
     prio orders ties on the same start: 0 colon, 1 capitals, 2.. known types
     in pattern order (the stable order of the three strategies).  Catalyst
@@ -162,18 +167,40 @@ def header_candidates(text: Column, custom_patterns=None) -> Column:
     once per line in a first pass and later passes read its result.
     """
     types = list(section_patterns(custom_patterns).items())
-    lines = F.split(text, "\n", -1)
+
+    # A known phrase counts only near the start of its line, so one anchored
+    # test over all phrases spares the other lines the test of every type.
+    near_any = f"(?isU)^[{_BLANK}]*.{{0,{PREFIX_LIMIT - 1}}}?[{_BLANK}]*(?:" + "|".join(f"(?:{p})" for _, ps in types for p in ps) + ")"
 
     # pass 1: one evaluation of every rule per line
     def probe(line: Column, i: Column) -> Column:
-        fields = [
+        return F.struct(
             line.alias("line"),
             i.alias("ln"),
             line.rlike(_COLON_J).alias("colon"),
             line.rlike(_CAPS_J).alias("caps"),
-        ]
-        fields += [F.regexp_instr(line, F.lit(combined_regex(p))).alias(f"p{k}") for k, (_, p) in enumerate(types)]
-        return F.struct(*fields)
+            line.rlike(near_any).alias("near"),
+        )
+
+    # every match of a type in a line, with its place; a match near the start
+    # has fewer than PREFIX_LIMIT matches before it
+    def matches(line: Column, rule: str, prio: int, pats: list[str], i: Column) -> Column:
+        rx = combined_regex(pats)
+
+        def total(texts: Column, k: Column) -> Column:
+            return F.aggregate(F.slice(texts, F.lit(1), k), F.lit(0), lambda n, x: n + F.length(x))
+
+        def place(w: Column) -> Column:
+            found = F.transform(w["found"], lambda m, k: F.struct(m.alias("m"), (total(w["between"], k + 1) + total(w["found"], k)).alias("pos")))
+            near = F.filter(found, lambda x: F.length(strip(line.substr(F.lit(1), x["pos"]))) < PREFIX_LIMIT)
+            return F.transform(
+                near,
+                lambda x: F.struct(i.alias("ln"), x["pos"].alias("pos"), F.lit(prio).alias("prio"), F.length(x["m"]).alias("len"),
+                                   strip(x["m"]).alias("text"), F.lit(rule).alias("rule")),
+            )
+
+        found = F.slice(F.regexp_extract_all(line, F.lit(rx), F.lit(0)), 1, PREFIX_LIMIT)
+        return let(F.struct(found.alias("found"), F.split(line, rx, PREFIX_LIMIT + 1).alias("between")), place)
 
     # pass 2: candidates of a line, texts extracted only where a rule fired
     def per_line(x: Column) -> Column:
@@ -190,60 +217,61 @@ def header_candidates(text: Column, custom_patterns=None) -> Column:
                          strip(line).alias("text"), F.lit("caps").alias("rule")),
             ),
         ]
-        for k, (stype, pats) in enumerate(types):
-            pos = x[f"p{k}"]
-            near_start = F.length(strip(line.substr(F.lit(1), pos - 1))) < PREFIX_LIMIT
-            m = F.regexp_extract(line, combined_regex(pats), 0)
-            cands.append(
-                F.when(
-                    (pos > 0) & near_start,
-                    F.struct(i.alias("ln"), (pos - 1).alias("pos"), F.lit(2 + k).alias("prio"), F.length(m).alias("len"),
-                             strip(m).alias("text"), F.lit(stype).alias("rule")),
-                )
-            )
-        return F.filter(F.array(*cands), lambda c: c.isNotNull())
-
-    flat = F.flatten(F.transform(F.transform(lines, probe), per_line))
-    # pass 3: absolute offsets, computed once per candidate line
-    with_off = F.transform(flat, lambda x: F.struct(x.alias("c"), _line_offset(text, x["ln"]).alias("off")))
-    return F.transform(
-        with_off,
-        lambda y: F.struct(
-            (y["off"] + y["c"]["pos"]).cast("bigint").alias("start"),
-            y["c"]["prio"].alias("prio"),
-            (y["off"] + y["c"]["pos"] + y["c"]["len"]).cast("bigint").alias("end"),
-            y["c"]["text"].alias("text"),
-            y["c"]["rule"].alias("rule"),
-        ),
-    )
+        ruled = F.filter(F.array(*cands), lambda c: c.isNotNull())
+        known = F.concat(*[matches(line, stype, 2 + k, pats, i) for k, (stype, pats) in enumerate(types)])
+        return F.when(x["near"], F.concat(ruled, known)).otherwise(ruled)
+
+    # pass 3: absolute offsets, from the starts of the lines
+    def placed(starts: Column) -> Column:
+        return F.transform(
+            F.flatten(F.transform(F.transform(lines, probe), per_line)),
+            lambda c: let(
+                F.get(starts, c["ln"]),
+                lambda off: F.struct(
+                    (off + c["pos"]).cast("bigint").alias("start"),
+                    c["prio"].alias("prio"),
+                    (off + c["pos"] + c["len"]).cast("bigint").alias("end"),
+                    c["text"].alias("text"),
+                    c["rule"].alias("rule"),
+                    c["ln"].alias("ln"),
+                    c["pos"].alias("pos"),
+                    c["len"].alias("len"),
+                ),
+            ),
+        )
+
+    return let(line_starts(lines), placed)
 
 
 def dedupe_headers(cands: Column, tolerance: int = HEADER_TOLERANCE) -> Column:
     """Sort by (start, prio); keep a header when it starts >= tolerance after the last kept one."""
-    def step(state, h):
-        keep = h["start"] - state["last"] >= tolerance
-        return F.when(keep, F.struct(h["start"].alias("last"), F.concat(state["acc"], F.array(h)).alias("acc"))).otherwise(state)
-
-    def fold(ordered):
-        # the typed empty accumulator is derived from the bound array, so the
-        # candidates are computed once
-        init = F.struct(F.lit(-(10**9)).cast("bigint").alias("last"), F.filter(ordered, lambda x: F.lit(False)).alias("acc"))
-        return F.aggregate(ordered, init, step, lambda s: s["acc"])
+    def step(last, h):
+        keep = h["start"] - last >= tolerance
+        return F.when(keep, h["start"]).otherwise(last), F.filter(F.array(h), lambda _: keep)
 
-    return let(F.array_sort(cands), fold)
+    return scan(F.array_sort(cands), F.lit(-(10**9)).cast("bigint"), step)
 
 
-def sections_from_kept(text: Column, kept: Column, custom_patterns=None, min_section_length: int = MIN_SECTION_LENGTH) -> Column:
-    """G06-G09 for one text, given its kept headers (a column reference).
+def sections_from_kept(text: Column, lines: Column, kept: Column, custom_patterns=None, min_section_length: int = MIN_SECTION_LENGTH) -> Column:
+    """G06-G09 for one text, given its lines and kept headers (column references).
 
-    Returns array<struct<header, content, start_pos, end_pos, section_type>>.
+    A section is joined from its lines: cutting it out of the text by character
+    offset would read the text from its start for every header.  Returns array<struct<header, content, start_pos, end_pos, section_type>>.
     """
     n = F.length(text).cast("bigint")
 
     def cut(h, j):
-        nxt = F.try_element_at(kept, j + 2)["start"]
-        end_c = F.coalesce(nxt, n)
-        content = strip(text.substr(h["end"] + 1, F.greatest(end_c - h["end"], F.lit(0))))
+        nxt = F.try_element_at(kept, j + 2)
+        end_c = F.coalesce(nxt["start"], n)
+        line, after = F.get(lines, h["ln"]), h["pos"] + h["len"] + 1
+        to_line = F.coalesce(nxt["ln"], F.size(lines))
+        middle = F.slice(lines, h["ln"] + 2, F.greatest(to_line - h["ln"] - 1, F.lit(0)))
+        head = F.when(nxt.isNull(), F.filter(F.array(line), lambda _: F.lit(False))).otherwise(F.array(F.get(lines, nxt["ln"]).substr(F.lit(1), nxt["pos"])))
+        content = strip(
+            F.when(to_line == h["ln"], line.substr(after, F.greatest(nxt["pos"] - after + 1, F.lit(0)))).otherwise(
+                F.array_join(F.concat(F.array(line.substr(after, F.length(line))), middle, head), "\n")
+            )
+        )
         return F.struct(
             h["text"].alias("header"),
             content.alias("content"),
@@ -299,8 +327,12 @@ def parse_structure(
         from scriptorium.functions.text import squeeze_whitespace
 
         t = squeeze_whitespace(t)
-    kept = dedupe_headers(header_candidates(F.col("_t"), custom_patterns))
-    sections = let(kept, lambda k: sections_from_kept(F.col("_t"), k, custom_patterns, min_section_length))
+
+    def parsed(lines: Column) -> Column:
+        kept = dedupe_headers(header_candidates(lines, custom_patterns))
+        return let(kept, lambda k: sections_from_kept(F.col("_t"), lines, k, custom_patterns, min_section_length))
+
+    sections = let(text_lines(F.col("_t")), parsed)
     return df.select(F.col(id_field).cast("string").alias(id_field), t.alias("_t")).select(id_field, sections.alias("sections"))
 
 
@@ -323,14 +355,18 @@ def parse_corpus(df: DataFrame, text_field: str = "jd_text", id_field: str = "jd
 
 def headers_table(df: DataFrame, text_field: str = "jd_text", id_field: str = "jd_id", deduped: bool = False, custom_patterns=None) -> DataFrame:
     """Header candidates (G01-G03) or kept headers (G05) as rows."""
-    c = header_candidates(F.col(text_field), custom_patterns)
-    arr = dedupe_headers(c) if deduped else c
-    return df.select(F.col(id_field).cast("string").alias(id_field), F.explode(arr).alias("h")).select(id_field, "h.*")
+
+    def headers(lines: Column) -> Column:
+        c = header_candidates(lines, custom_patterns)
+        return dedupe_headers(c) if deduped else c
+
+    arr = let(text_lines(F.col(text_field)), headers)
+    return df.select(F.col(id_field).cast("string").alias(id_field), F.explode(arr).alias("h")).select(id_field, "h.start", "h.prio", "h.end", "h.text", "h.rule")
 
 
 def line_offsets(df: DataFrame, text_field: str = "jd_text", id_field: str = "jd_id") -> DataFrame:
     """Character offset of each line (running sum of length + 1 per document)."""
-    lines = df.select(id_field, F.posexplode(F.split(F.col(text_field), "\n", -1)).alias("ln", "line"))
+    lines = df.select(id_field, F.posexplode(text_lines(F.col(text_field))).alias("ln", "line"))
     w = Window.partitionBy(id_field).orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
     return lines.select(
         id_field, F.col("ln").cast("int").alias("ln"), F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)).cast("bigint").alias("offset")

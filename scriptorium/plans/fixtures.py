@@ -56,12 +56,14 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
     # F8 sectioned text
     "f_sectioned": """
 SELECT CAST(doc_id AS STRING) AS jd_id,
-  concat(CASE WHEN doc_id % 3 = 0 THEN concat(substr(text,1,40), chr(10)) ELSE '' END,
-    'Summary:', chr(10), substr(text,1,200), chr(10),
+  concat(CASE WHEN doc_id % 3 = 0 THEN concat(substr(text, 1, a), chr(10)) ELSE '' END,
+    'Summary:', chr(10), CASE WHEN doc_id % 3 = 0 THEN substr(text, a + 1, a) ELSE substr(text, 1, 2 * a) END, chr(10),
     CASE WHEN doc_id % 2 = 0 THEN concat('Key Responsibilities:', chr(10)) ELSE concat('WHAT WE OFFER', chr(10)) END,
-    substr(text,1,120), chr(10),
-    CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat('Required Qualifications', chr(10), substr(text,1,90)) END) AS jd_text
-FROM documents""",
+    CASE WHEN doc_id % 7 = 0 THEN concat('perks               benefits', chr(10)) ELSE '' END,
+    substr(text, 2 * a + 1, 2 * a), chr(10),
+    CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat('Required Qualifications', chr(10)) END,
+    substr(text, 4 * a + 1)) AS jd_text
+FROM (SELECT doc_id, text, CAST(floor(length(text) / 5) AS INT) AS a FROM documents)""",
     # F9 model responses
     "f_responses": """
 SELECT CAST(part.p_partkey AS STRING) AS jd_id,

@@ -29,10 +29,11 @@ def _known_sql() -> str:
     parts = []
     for k, (stype, pats) in enumerate(S.STANDARD_SECTIONS.items()):
         parts.append(
-            f"""SELECT jd_id, off + strpos(line, m) - 1 AS start, {2 + k} AS prio, off + strpos(line, m) - 1 + length(m) AS "end",
-  {_strip_sql('m')} AS text, '{stype}' AS rule
-FROM (SELECT jd_id, line, off, regexp_extract(line, '{_rx_sql(pats)}', 0) AS m FROM lines)
-WHERE m <> '' AND length({_strip_sql("substr(line, 1, strpos(line, m) - 1)")}) < 10"""
+            f"""SELECT jd_id, off + hit AS start, {2 + k} AS prio, off + hit + length(m) AS "end", {_strip_sql('m')} AS text, '{stype}' AS rule
+FROM (SELECT jd_id, line, off, found[i] AS m, length(array_to_string(between[1:i], '')) + coalesce(length(array_to_string(found[1:i-1], '')), 0) AS hit
+  FROM (SELECT jd_id, line, off, found, string_split_regex(line, '{_rx_sql(pats)}') AS between, unnest(range(1, len(found) + 1)) AS i
+    FROM (SELECT jd_id, line, off, regexp_extract_all(line, '{_rx_sql(pats)}') AS found FROM lines)))
+WHERE length({_strip_sql("substr(line, 1, CAST(hit AS BIGINT))")}) < 10"""
         )
     return "\nUNION ALL\n".join(parts)
 

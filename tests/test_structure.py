@@ -32,3 +32,9 @@ def test_custom_patterns_append_a_type(spark):
     df = spark.createDataFrame([("1", "Thank you:\n" + "z" * 30)], "jd_id string, jd_text string")
     rows = S.parse_corpus(df, custom_patterns={"closing": [r"thank\s+you"]}).collect()
     assert rows[0]["section_type"] == "closing"
+
+
+def test_every_known_phrase_near_the_start_of_a_line_is_a_header(spark):
+    df = spark.createDataFrame([("1", "perks               benefits\nx"), ("2", "some words of a line then benefits\nx")], "jd_id string, jd_text string")
+    got = {(r.jd_id, r.start, r.text) for r in S.headers_table(df).collect()}
+    assert got == {("1", 0, "perks"), ("1", 20, "benefits")}
