@@ -3,8 +3,7 @@
 
 Discovery walks the records level by level: every object is expanded into
 (path, value) rows by casting it to ``map<string,variant>`` and exploding; the
-first three elements of an array that are objects are expanded under
-``path[*]``.  Each level is a narrow transformation of the previous one; one
+elements of an array that are objects are expanded under ``path[*]``.  Each level is a narrow transformation of the previous one; one
 ``groupBy(path)`` with partial aggregation produces the statistics, so the
 whole corpus is inspected (no 100-record sample) in a single shuffle of small
 rows.  Key order inside a record is not kept by VARIANT: "discovery order" is
@@ -48,7 +47,6 @@ STANDARD_FIELDS = [
     "team_description",
 ]
 MIN_TEXT_AVG_LENGTH = 100
-ARRAY_INSPECT = 3
 # ---------------------------------------------------------------------------
 
 
@@ -70,68 +68,102 @@ def json_type(v: Column) -> Column:
 
 
 def _entries_of(obj: Column, prefix: Column) -> Column:
-    """(path, value) of every key of an object VARIANT, as an array."""
+    """(path, parent, key, value) of every key of an object VARIANT, as an array."""
     m = F.map_entries(F.try_variant_get(obj, "$", "map<string,variant>"))
     return F.transform(
         F.coalesce(m, F.array().cast("array<struct<key:string,value:variant>>")),
         lambda e: F.struct(
             F.when(prefix.isNull(), e["key"]).otherwise(F.concat(prefix, F.lit("."), e["key"])).alias("path"),
+            prefix.alias("parent"),
+            e["key"].alias("key"),
             e["value"].alias("value"),
         ),
     )
 
 
-def _children(path: Column, value: Column) -> Column:
-    """Keys of an object value, and keys of the first three object elements of
-    an array value (under ``path[*]``)."""
-    arr = F.try_variant_get(value, "$", "array<variant>")
-    elems = F.filter(F.slice(F.coalesce(arr, F.array().cast("array<variant>")), 1, ARRAY_INSPECT), lambda x: json_type(x) == "object")
+def _children(path: Column, value: Column, array_inspect: int | None) -> Column:
+    """Keys of an object value, and keys of the object elements of an array
+    value (under ``path[*]``)."""
+    arr = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
+    if array_inspect is not None:
+        arr = F.slice(arr, 1, array_inspect)
+    elems = F.filter(arr, lambda x: json_type(x) == "object")
     from_arr = F.flatten(F.transform(elems, lambda x: _entries_of(x, F.concat(path, F.lit("[*]")))))
     return F.concat(_entries_of(value, path), from_arr)
 
 
-def path_entries(records: DataFrame, record_col: str = "record", max_depth: int = 6) -> DataFrame:
-    """(rid, path, value, type) for every key of every object.
+def record_depth(record: Column) -> Column:
+    """Nested object levels of a VARIANT, from the braces of its JSON text outside strings."""
+    bare = F.regexp_replace(F.to_json(record), r'"(?:[^"\\]|\\.)*+"', "")
+    marks = F.split(F.regexp_replace(bare, "[^{}]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(s: Column, mark: Column) -> Column:
+        now = s["now"] + F.when(mark == "{", 1).when(mark == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(marks, start, step, lambda s: s["most"])
+
+
+def path_entries(records: DataFrame, record_col: str = "record", max_depth: int | None = None, array_inspect: int | None = None) -> DataFrame:
+    """(rid, path, parent, key, value, type) for every key of every object.
 
     All levels of a record are built inside one projection: level k+1 is the
     children of level k (each level bound once with ``let``), the levels are
     concatenated and a single ``inline`` emits the rows.  Nothing is shuffled
-    before the final grouping and no row is copied per level.
+    before the final grouping and no row is copied per level.  The number of
+    levels is that of the deepest record, found by a pass over the records;
+    ``max_depth`` and ``array_inspect`` (elements of an array) state a bound.
     """
-    def levels(prev, depth):
-        if depth == max_depth - 1:
+    depth = max_depth or records.agg(F.max(record_depth(F.col(record_col)))).first()[0] or 1
+
+    def levels(prev, level):
+        if level == depth - 1:
             return prev
-        nxt = F.flatten(F.transform(prev, lambda e: _children(e["path"], e["value"])))
-        return F.concat(prev, let(nxt, lambda lv: levels(lv, depth + 1)))
+        nxt = F.flatten(F.transform(prev, lambda e: _children(e["path"], e["value"], array_inspect)))
+        return F.concat(prev, let(nxt, lambda lv: levels(lv, level + 1)))
 
     root = _entries_of(F.col(record_col), F.lit(None).cast("string"))
     allv = let(root, lambda lv: levels(lv, 0))
     rows = records.select(F.monotonically_increasing_id().alias("rid"), F.inline(allv))
-    return rows.select("rid", "path", "value").withColumn("type", json_type(F.col("value")))
+    return rows.withColumn("type", json_type(F.col("value")))
 
 
-def schema_summary(records: DataFrame, record_col: str = "record", max_depth: int = 6) -> DataFrame:
+def schema_summary(records: DataFrame, record_col: str = "record", max_depth: int | None = None, array_inspect: int | None = None) -> DataFrame:
     """Per path count, null_count, null_rate (3 dp), sorted type set,
-    string and array length statistics (kept apart), nested keys, first seen."""
-    e = path_entries(records, record_col, max_depth)
+    string and array length statistics (kept apart), nested keys, first seen.
+
+    Entries are first grouped by (path, parent, key), a table as small as the
+    schema; from it each row serves its path (statistics) and its parent (keys).
+    """
+    e = path_entries(records, record_col, max_depth, array_inspect)
     t = F.col("type")
-    slen = F.when(t == "string", F.length(F.try_variant_get("value", "$", "string")))
-    alen = F.when(t == "array", F.size(F.try_variant_get("value", "$", "array<variant>")))
-    keys = F.when(t == "object", F.map_keys(F.try_variant_get("value", "$", "map<string,variant>")))
-    return e.groupBy("path").agg(
-        F.count(F.lit(1)).cast("bigint").alias("count"),
-        F.count_if(t == "null").cast("bigint").alias("null_count"),
-        rnd(F.count_if(t == "null") / F.count(F.lit(1)), 3).alias("null_rate"),
-        F.array_join(F.array_sort(F.collect_set(t)), ",").alias("types"),
-        F.min(slen).cast("bigint").alias("str_min_len"),
-        F.max(slen).cast("bigint").alias("str_max_len"),
-        rnd(F.avg(slen), 1).alias("str_avg_len"),
-        F.min(alen).cast("bigint").alias("arr_min_len"),
-        F.max(alen).cast("bigint").alias("arr_max_len"),
-        rnd(F.avg(alen), 1).alias("arr_avg_len"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(keys)))), ",").alias("nested_keys"),
+    e = e.withColumn("slen", F.when(t == "string", F.length(F.try_variant_get("value", "$", "string"))))
+    e = e.withColumn("alen", F.when(t == "array", F.size(F.try_variant_get("value", "$", "array<variant>"))))
+    sums = [F.count(F.lit(1)).alias("n"), F.count_if(t == "null").alias("nulls"), F.collect_set(t).alias("types"), F.min("rid").alias("rid")]
+    for c in ("slen", "alen"):
+        sums += [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.sum(c).alias(f"{c}_sum"), F.count(c).alias(f"{c}_n")]
+    small = e.groupBy("path", "parent", "key").agg(*sums)
+    # an object's keys; those of array elements hang under "path[*]", which is no path itself
+    stats = [c for c in small.columns if c not in ("path", "parent", "key")]
+    as_path = F.struct("path", *[F.col(c) for c in stats], F.lit(None).cast("string").alias("nested"))
+    as_key = F.struct(F.col("parent").alias("path"), *[F.lit(None).cast(small.schema[c].dataType).alias(c) for c in stats], F.col("key").alias("nested"))
+    both = small.select(F.inline(F.array(as_path, as_key)))
+    out = both.groupBy("path").agg(
+        F.sum("n").alias("count"),
+        F.sum("nulls").alias("null_count"),
+        rnd(F.sum("nulls") / F.sum("n"), 3).alias("null_rate"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))), ",").alias("types"),
+        F.min("slen_min").cast("bigint").alias("str_min_len"),
+        F.max("slen_max").cast("bigint").alias("str_max_len"),
+        rnd(F.try_divide(F.sum("slen_sum"), F.sum("slen_n")), 1).alias("str_avg_len"),
+        F.min("alen_min").cast("bigint").alias("arr_min_len"),
+        F.max("alen_max").cast("bigint").alias("arr_max_len"),
+        rnd(F.try_divide(F.sum("alen_sum"), F.sum("alen_n")), 1).alias("arr_avg_len"),
+        F.array_join(F.array_sort(F.collect_set("nested")), ",").alias("nested_keys"),
         F.min("rid").alias("first_seen"),
     )
+    return out.where(F.col("count").isNotNull())
 
 
 def field_paths(summary: DataFrame, type_filter: str | None = None) -> DataFrame:
@@ -198,21 +230,20 @@ def json_path(dotted: str) -> str:
     return "$" + "".join(f"['{p}']" for p in parts)
 
 
-def path_get(record: Column, dotted: str, as_type: str = "string", max_digit_parts: int = 3) -> Column:
+def path_get(record: Column, dotted: str, as_type: str = "string") -> Column:
     """Value at a dotted path; a digit part is a key of an object or an
-    index of an array; absent -> NULL."""
-    parts = dotted.split(".")
-    digit = [i for i, p in enumerate(parts) if p.isdigit()][:max_digit_parts]
-    options = []
-    for mask in range(2 ** len(digit)):
-        segs = []
-        for i, p in enumerate(parts):
-            if i in digit and mask & (1 << digit.index(i)):
-                segs.append(f"[{int(p)}]")
-            else:
-                segs.append(f"['{p}']")
-        options.append(F.try_variant_get(record, "$" + "".join(segs), as_type))
-    return options[0] if len(options) == 1 else F.coalesce(*options)
+    index of an array, tried in that order; absent -> NULL."""
+
+    def walk(value: Column, parts: list[str]) -> Column:
+        cut = next((i for i, p in enumerate(parts) if p.isdigit()), None)
+        if cut is None:
+            return F.try_variant_get(value, "$" + "".join(f"['{p}']" for p in parts), as_type)
+        head, digits, tail = "$" + "".join(f"['{p}']" for p in parts[:cut]), parts[cut], parts[cut + 1 :]
+        kind = "variant" if tail else as_type
+        found = F.coalesce(F.try_variant_get(value, f"{head}['{digits}']", kind), F.try_variant_get(value, f"{head}[{int(digits)}]", kind))
+        return let(found, lambda v: walk(v, tail)) if tail else found
+
+    return walk(record, dotted.split("."))
 
 
 def map_fields(records: DataFrame, mapping: dict[str, str | None], record_col: str = "record", custom_fields: dict[str, str] | None = None) -> DataFrame:

@@ -242,8 +242,8 @@ def extract_education(text: Column) -> Column:
     return F.filter(F.array(*[F.when(text.rlike(rx), F.lit(name)) for name, rx in EDUCATION_LEVELS]), lambda x: x.isNotNull())
 
 
-def ngrams(text: Column, max_n: int) -> Column:
-    """Lower-case word n-grams (1..max_n) of a text, as an array of strings.
+def ngrams(text: Column, sizes: list[int]) -> Column:
+    """Lower-case word n-grams of a text for every n in ``sizes``, as an array of strings.
 
     The word array is bound once (``let``): referenced inside the per-position
     lambdas it would otherwise be re-split for every position.
@@ -256,7 +256,7 @@ def ngrams(text: Column, max_n: int) -> Column:
             starts = F.filter(F.sequence(F.lit(1), F.greatest(n_words - (n - 1), F.lit(1))), lambda i: i + (n - 1) <= n_words)
             return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
-        return F.filter(F.concat(*[grams_of(n) for n in range(1, max_n + 1)]), lambda g: g != "")
+        return F.filter(F.concat(*[grams_of(n) for n in sizes]), lambda g: g != "")
 
     words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}#+]+"), lambda w: w != "")
     return let(words, grams)
@@ -268,19 +268,27 @@ def extract_requirements(
     text_col: str = "text",
     kind_col: str | None = None,
     id_field: str = "jd_id",
-    max_n: int = 3,
+    broadcast_chars: int = 16 << 20,
 ) -> DataFrame:
     """Items found in the text by dictionary lookup.
 
     ``dictionary`` is (term, canonical, category); terms are matched on
-    lower-case word n-grams.  ``kind_col`` (e.g. derived from the section
-    type: preferred_qualifications -> preferred) defaults to 'required'.
+    lower-case word n-grams of the lengths that its terms have.  It is measured
+    first: up to ``broadcast_chars`` characters it is broadcast and the n-grams
+    stay where they are; a larger one is joined by shuffle.
+    ``kind_col`` (e.g. derived from the section type: preferred_qualifications
+    -> preferred) defaults to 'required'.
     Output: long items (jd_id, category, kind, item) with one row per
     distinct (document, category, kind, item).
     """
     kind = F.col(kind_col) if kind_col else F.lit("required")
-    g = texts.select(F.col(id_field).cast("string").alias(id_field), kind.alias("kind"), F.explode(F.array_distinct(ngrams(F.col(text_col), max_n))).alias("gram"))
-    d = dictionary.select(F.lower(F.col("term")).alias("gram"), F.col("canonical").alias("item"), "category")
+    d = dictionary.select(F.lower(F.col("term")).alias("gram"), F.col("canonical").alias("item"), "category").distinct()
+    chars = F.length("gram") + F.coalesce(F.length("item"), F.lit(0)) + F.coalesce(F.length("category"), F.lit(0))
+    lengths = d.where("gram IS NOT NULL").groupBy(F.size(F.split("gram", " ")).alias("n")).agg(F.sum(chars).alias("chars")).collect()
+    sizes = sorted(r["n"] for r in lengths) or [1]
+    if sum(r["chars"] for r in lengths) <= broadcast_chars:
+        d = F.broadcast(d)
+    g = texts.select(F.col(id_field).cast("string").alias(id_field), kind.alias("kind"), F.explode(F.array_distinct(ngrams(F.col(text_col), sizes))).alias("gram"))
     return g.join(d, "gram").select(id_field, "category", "kind", "item").distinct()
 
 

@@ -101,15 +101,15 @@ def sample_by_strata(
     org_field: str = "org_unit",
     level_field: str = "level",
     id_field: str = "jd_id",
-    max_per_stratum: int = 1000,
 ) -> DataFrame:
     """W05 + J11: min(requested, available) rows per requested stratum.
 
     ``strata_config`` has (org, level, count); it is joined on the keys (AQE
-    broadcasts it when small).  ``max_per_stratum`` is the literal bound the
-    rank filter is planned with; requests above it are rejected.
+    broadcasts it when small).  Its largest count, read first, bounds the rank
+    filter, so a stratum sends no more rows than any request needs.
     """
-    ranked = _ranked_within(df, [org_field, level_field], id_field, seed, max_per_stratum)
+    largest = strata_config.agg(F.max("count")).first()[0] or 0
+    ranked = _ranked_within(df, [org_field, level_field], id_field, seed, int(largest))
     return ranked.join(strata_config.withColumnRenamed("count", "_want"), [org_field, level_field]).where(
         F.col("_rn") <= F.col("_want")
     ).drop("_rn", "_want")

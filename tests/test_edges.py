@@ -66,3 +66,22 @@ def test_stratum_smaller_than_minimum(spark):
     df = spark.createDataFrame(rows, "jd_id string, org_unit string, level string")
     s = sampling.sample_stratified(df, n=6, min_per_stratum=2).collect()
     assert len(s) == 6 and sum(1 for r in s if r["org_unit"] == "small") == 1
+
+
+def test_terms_of_any_length_are_found(spark):
+    from scriptorium.operators import requirements as Q
+
+    texts = spark.createDataFrame([("1", "Knows Large Scale Data Processing and sql"), ("2", None), ("3", "")], "jd_id string, text string")
+    terms = spark.createDataFrame([("large scale data processing", "lsdp", "domain"), ("sql", "SQL", "technical"), (None, "x", "soft")], "term string, canonical string, category string")
+    for chars in (1 << 20, 0):
+        got = {(r.jd_id, r.item) for r in Q.extract_requirements(texts, terms, broadcast_chars=chars).collect()}
+        assert got == {("1", "lsdp"), ("1", "SQL")}
+
+
+def test_strata_requests_above_a_thousand_rows(spark):
+    from scriptorium.operators import sampling
+
+    rows = spark.range(3000).selectExpr("CAST(id AS STRING) AS jd_id", "'o' AS org_unit", "'l' AS level")
+    want = spark.createDataFrame([("o", "l", 2500), ("none", "l", 5)], "org_unit string, level string, count bigint")
+    assert sampling.sample_by_strata(rows, want).count() == 2500
+    assert sampling.sample_by_strata(rows, want.limit(0)).count() == 0

@@ -26,6 +26,25 @@ def test_path_get(spark):
     assert (row["ab"], row["c1"], row["c9"], row["d0"], row["xy"]) == ("1", "6", None, "k", None)
 
 
+def test_path_get_walks_any_number_of_digit_parts(spark):
+    df = spark.createDataFrame([('{"a":[[[[["x",{"0":"y"}]]]]]}',)], "value string")
+    r = R.explode_records(df)
+    row = r.select(D.path_get(F.col("record"), "a.0.0.0.0.0").alias("x"), D.path_get(F.col("record"), "a.0.0.0.0.1.0").alias("y")).first()
+    assert (row["x"], row["y"]) == ("x", "y")
+
+
+def test_schema_summary_reaches_every_level_and_element(spark):
+    texts = [
+        ('{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":"} {"}}}}}}},"l":[1,{"x":1},{"x":2},{"x":3},{"y":{"z":"{"}}]}',),
+        ('{"a":{"k":1}}',),
+    ]
+    s = {r["path"]: r for r in D.schema_summary(R.explode_records(spark.createDataFrame(texts, "value string"))).collect()}
+    assert s["a.b.c.d.e.f.g.h"]["types"] == "string" and s["a.b.c.d.e.f.g"]["nested_keys"] == "h"
+    assert s["l[*].x"]["count"] == 3 and s["l[*].y.z"]["types"] == "string"
+    assert s["a"]["nested_keys"] == "b,k" and s["a"]["count"] == 2 and s["l"]["nested_keys"] == ""
+    assert D.schema_summary(R.explode_records(spark.createDataFrame(texts[:0], "value string"))).count() == 0
+
+
 def test_schema_summary_types(spark):
     df = spark.createDataFrame([('{"a":{"b":1,"c":[1,2]},"s":"hi","n":null,"t":true,"f":1.5}',)], "value string")
     s = {r["path"]: r for r in D.schema_summary(R.explode_records(df)).collect()}
