@@ -70,9 +70,16 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / (100 + percent))
 
 
-def removed_lines(docs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
-    """k (document) and ref of the lines that go.  ``docs``: id, text; ``base``: k, id, text by k."""
-    lines = docs.select("id", F.posexplode(text_lines(F.col("text"))).alias("at", "line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+def has_words(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
+
+
+def line_marks(docs: DataFrame, base: DataFrame, text: Column, percent: int) -> DataFrame:
+    """By k (document): refs of the lines that are the first of their equals, and of those near an earlier line.
+
+    ``docs``: id, text; ``base``: rows by k, with ``text`` the text of a row.
+    """
+    lines = docs.select("id", F.posexplode(text_lines(F.col("text"))).alias("at", "line")).filter(has_words(F.col("line")))
     lines = lines.select("id", "line", line_ref(F.col("at"), F.col("line")).alias("ref"), F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"))
     classes = slot_classes(lines)
 
@@ -85,9 +92,6 @@ def removed_lines(docs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
     first = F.min(F.struct("id", "ref", "s"))
     firsts = staged(sets.groupBy("key").agg(first.alias("first")).select("key", "first.id", "first.ref", "first.s.n", "first.s.prefix"), "line-firsts")
 
-    copies = lines.select("key", "id", "ref").join(firsts.select("key", F.struct("id", "ref").alias("first")), "key")
-    copies = copies.filter(F.struct("id", "ref") != F.col("first")).select("id", "ref")
-
     posts = firsts.select("id", "ref", "n", F.posexplode("prefix").alias("at", "token"))
     posts = posts.select("token", "id", "ref", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
     n, at = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -103,7 +107,7 @@ def removed_lines(docs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
     # The full sets of the lines in pairs, from the documents' one exchange.
     wanted = pairs.select(F.col("a_id").alias("id"), F.col("a_ref").alias("ref")).union(pairs.select("b_id", "b_ref")).distinct()
     wanted = wanted.groupBy(_key("id").alias("k")).agg(F.collect_set("ref").alias("refs"))
-    asked = base.join(wanted, "k").select("k", "refs", F.posexplode(text_lines(F.col("text"))).alias("at", "line"))
+    asked = base.join(wanted.hint("shuffle_hash"), "k").select("k", "refs", F.posexplode(text_lines(text)).alias("at", "line"))
     asked = asked.withColumn("ref", line_ref(F.col("at"), F.col("line"))).filter(F.array_contains("refs", F.col("ref")))
     # One exchange of the sets, by keys without nulls, serves both joins.
     full = asked.select("k", "ref", F.array_distinct(shingles(F.col("line"))).alias("tokens")).dropDuplicates(["k", "ref"])
@@ -113,7 +117,9 @@ def removed_lines(docs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
     both = both.select("a_tokens", "b_id", "b_k", "b_ref").join(right, ["b_k", "b_ref"])
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     near = both.filter(shared >= _needed(F.size("a_tokens"), F.size("b_tokens"), percent)).select(F.col("b_id").alias("id"), F.col("b_ref").alias("ref"))
-    return copies.union(near).select(_key("id").alias("k"), "ref")
+    marks = firsts.select(_key("id").alias("k"), "ref", F.lit(None).cast("long").alias("near"))
+    marks = marks.union(near.select(_key("id").alias("k"), F.lit(None).cast("long"), "ref"))
+    return marks.groupBy("k").agg(F.collect_set("ref").alias("firsts"), F.collect_set("near").alias("near"))
 
 
 def _key(c: str) -> Column:
@@ -130,14 +136,20 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     that repeat an id are one document's, and equal lines at one place of it
     count once.  An empty table gives an empty result.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct("*").alias("row"))
-    base = base.select(_key("id").alias("k"), "id", "text", "row").repartition("k")
-    gone = removed_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), base, percent)
-    gone = gone.groupBy("k").agg(F.collect_set("ref").alias("gone"))
-    rows = base.join(gone, "k", "left")
-    lines = text_lines(F.col("text"))
-    kept = let(lines, lambda ls: F.filter(ls, lambda line, i: ~F.array_contains("gone", line_ref(i, line))))
-    rows = rows.select("row", "text", F.when(F.col("gone").isNotNull() & F.col("text").isNotNull(), F.struct(kept.alias("lines"), F.size(lines).alias("n"))).alias("left"))
-    text = F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join("left.lines", "\n"))
+    base = docs.select(_key(id_col).alias("k"), F.struct("*").alias("row")).repartition("k")
+    # Read through ``let``, a row stays whole: one exchange of the rows serves the verification and the result.
+    text = let(F.col("row"), lambda r: r[text_col])
+    marks = line_marks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), base, text, percent)
+    # A document all of whose lines are copies has no marks.
+    none = F.array().cast("array<bigint>")
+    rows = base.join(marks.hint("shuffle_hash"), "k", "left").select("row", text.alias("text"), F.coalesce("firsts", none).alias("firsts"), F.coalesce("near", none).alias("near"))
+
+    def left(lines: Column) -> Column:
+        refs = F.transform(lines, lambda line, i: F.when(has_words(line), line_ref(i, line)))
+        gone = F.array_compact(F.concat(F.array_except(refs, "firsts"), "near"))
+        return let(gone, lambda out: F.struct(F.filter(lines, lambda line, i: ~F.array_contains(out, line_ref(i, line))).alias("lines"), F.size(lines).alias("n")))
+
+    rows = rows.select("row", "text", F.when(F.col("text").isNotNull(), let(text_lines(F.col("text")), left)).alias("left"))
+    new_text = F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join("left.lines", "\n"))
     removed = F.coalesce((F.col("left.n") - F.size("left.lines")).cast("long"), F.lit(0).cast("long"))
-    return rows.select(F.col("row").withField(text_col, text).withField(removed_col, removed).alias("row")).select("row.*")
+    return rows.select(F.col("row").withField(text_col, new_text).withField(removed_col, removed).alias("row")).select("row.*")
