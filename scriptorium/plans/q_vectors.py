@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scriptorium.functions.numeric import rnd
@@ -9,6 +11,7 @@ from scriptorium.functions.numeric import rnd
 from scriptorium.operators import clustering as C
 from scriptorium.operators import structure as S
 from scriptorium.plans.registry import fx, query
+from scriptorium.session import scratch_path
 
 V = ("f_vectors",)
 
@@ -142,6 +145,10 @@ def q_m02(spark, sf):
 def q_m19(spark, sf):
     """k-means per section type, k from the F10 gate (one small row per type drives the loop)."""
     secs = S.section_filter(S.parse_corpus(fx(spark, sf, "f_sectioned")), ["summary", "responsibilities", "required_qualifications", "benefits"])
+    # The texts are parsed once: every type reads its sections from a written table.
+    path = scratch_path(spark, f"m19-sections-{uuid.uuid4().hex}")
+    secs.select("jd_id", "section_type", "content").write.partitionBy("section_type").parquet(path)
+    secs = spark.read.parquet(path)
     gate = S.cluster_gate(secs).collect()
     keyed = secs.select(F.concat_ws("|", "section_type", "jd_id").alias("jd_id"), "section_type", "content")
     parts = []
