@@ -14,7 +14,7 @@ from scriptorium.plans.registry import query
 def _events_stream(spark, sf):
     schema = table(spark, sf, "events").schema
     # the events table is one file: the stream reads it through a glob on its
-    # name; event time must be TIMESTAMP for watermarks (session zone UTC)
+    # name; event time must be TIMESTAMP for windows (session zone UTC)
     s = X.stream_source(spark, f"{sf.rstrip('/')}/events*.parquet", schema, max_files_per_trigger=1)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -30,9 +30,8 @@ def q_x1(spark, sf):
     "SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(CAST(json_extract(props, '$.k') AS DOUBLE)), 3) AS k_sum FROM events GROUP BY 1",
 )
 def q_x2(spark, sf):
-    s = X.unseen_records(_events_stream(spark, sf), "event_id", "ts", "1 day")
-    s = s.select("event_id", "event_type", F.get_json_object("props", "$.k").cast("double").alias("k"))
-    out = X.run_available_now(s, X.new_run_name("extract"))
+    s = _events_stream(spark, sf).select("event_id", "event_type", F.get_json_object("props", "$.k").cast("double").alias("k"))
+    out = X.run_available_now(s, X.new_run_name("extract"), foreach_batch=X.append_unseen("event_id"))
     return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).cast("bigint").alias("n"), rnd(F.sum("k"), 3).alias("k_sum"))
 
 
@@ -42,8 +41,7 @@ def q_x2(spark, sf):
   event_type, round(avg(value), 6) AS mean, CAST(count(*) AS BIGINT) AS count FROM events GROUP BY 1, 2""",
 )
 def q_x3(spark, sf):
-    agg = X.period_aggregate(_events_stream(spark, sf), "ts", "value", "30 days", keys=["event_type"])
-    rows = agg.select(F.date_format(F.col("w.start"), "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "mean", "count")
-    out = X.run_available_now(rows, X.new_run_name("period"), mode="update", foreach_batch=X.merge_window_rows)
-    latest = X.latest_window_rows(spark, out, ["window_start", "event_type"])
-    return latest.select("window_start", "event_type", rnd("mean", 6).alias("mean"), "count")
+    out = X.run_available_now(_events_stream(spark, sf), X.new_run_name("period"), foreach_batch=X.sum_periods("ts", "value", "30 days", ["event_type"]))
+    means = X.period_means(spark, out, ["event_type"])
+    start = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start")
+    return means.select(start, "event_type", rnd("mean", 6).alias("mean"), "count")
