@@ -2,7 +2,8 @@
 
 A document's set has its distinct five-word shingles (64-bit hashes; fewer
 words: the whole sequence; none: empty).  Equal sets meet first and go on as
-one.  Tokens are ordered by rarity (their count by hash slot of 2^22, then hash),
+one node, known by a hash of one of its rows (id and text); ids come back at the
+end.  Tokens are ordered by rarity (their count by hash slot of 2^22, then hash),
 fine enough to put the tokens of a passage that ten documents share behind those
 of one document at 20 tokens a slot; any order gives the same links.  A
 set of n posts its first n - ceil(0.75 n) + 1 tokens with their positions, so
@@ -87,18 +88,18 @@ def _slots(tokens: np.ndarray) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and signature of every set; at the end the task's token counts by slot, in compressed chunks."""
     counts = np.zeros(1 << SLOT_BITS, np.uint32)
-    names = ["id", "n", "signature", "chunk", "counts"]
+    names = ["id", "row", "n", "signature", "chunk", "counts"]
     for batch in batches:
         sets = [shingler()(t) for t in batch.column("text").to_pylist()]
         for s in sets:
             np.add.at(counts, _slots(s), np.uint32(1))
         rows = len(sets)
         signatures = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(signatures, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(signatures, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
     chunks = counts.reshape(-1, SLOTS)
     at = np.flatnonzero(chunks.any(1))
     packed = [zlib.compress(chunks[i].tobytes(), 1) for i in at]
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(packed, pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([*[pa.nulls(len(at), pa.int64())] * 3, pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(packed, pa.binary())], names)
 
 
 def _slot_classes(group: pa.Table) -> pa.Table:
@@ -208,26 +209,35 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     """doc_id, n_shingles and component_id (smallest id reachable by links) of every row.
 
     Ids are integers.  Null and empty texts have empty sets and link with
-    nothing; a row with a null id takes part under the smallest integer, and has
-    itself a null component if that is the smallest.  Rows that repeat an id
-    stay rows of their own.  An empty table gives an empty result.  Other columns
-    are not read.
+    nothing.  Every row takes part with its own set.  Rows that repeat an id are
+    linked by it, as links are between ids; null ids link nothing, each such row
+    counts as the smallest integer, and a component with one is null.  An empty
+    table gives an empty result.  Other columns are not read.
     """
     least = -(1 << 63)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("id"), F.col(text_col).alias("text"))
-    seen = staged(rows.mapInArrow(_count, "id long, n long, signature binary, chunk int, counts binary"), "join-seen")
+    rows = rows.withColumn("row", F.xxhash64("id", "text"))
+    seen = staged(rows.mapInArrow(_count, "id long, row long, n long, signature binary, chunk int, counts binary"), "join-seen")
     table = np.zeros(1 << SLOT_BITS, "<u2")
     parts = seen.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(_slot_classes, "chunk int, classes binary")
     for r in parts.collect():  # the table's fixed size: 8 MB
         table[r["chunk"] * SLOTS : (r["chunk"] + 1) * SLOTS] = np.frombuffer(r["classes"], "<u2")
     classes = table.tobytes()
-    members = seen.filter("chunk IS NULL").select("id", "n", "signature")
-    reps = staged(members.filter("n > 0").groupBy("signature").agg(F.min("id").alias("rep")), "join-reps")
-
-    # Of equal sets only the representative posts.
-    copies = staged(members.join(reps, "signature").filter("id <> rep").select(F.col("id").alias("copy")).distinct(), "join-copies")
+    members = seen.filter("chunk IS NULL").select("id", "row", "n", "signature")
+    first_row = F.min(F.struct("id", "row")).alias("rep")
+    reps = members.filter("n > 0").groupBy("signature").agg(first_row, F.count("*").alias("rows"))
+    reps = staged(reps.select("signature", F.col("rep.id").alias("rep"), F.col("rep.row").alias("node"), "rows"), "join-reps")
+
+    # Of equal sets only the representative row posts, once if it is repeated with id and text.
+    equal = members.join(reps.filter("rows > 1").select("signature", "node"), "signature").groupBy("row").agg(F.first("node").alias("node"), F.count("*").alias("times"))
+    equal = staged(equal.select("row", (F.col("row") == F.col("node")).alias("first"), "times").filter("NOT first OR times > 1"), "join-copies")
+    copies = equal.select(F.col("row").alias("copy"))
     few = copies.count() <= BROADCAST_IDS
-    single = rows.join(F.broadcast(copies) if few else copies, rows["id"] == copies["copy"], "left_anti")
+    texts = rows.select(F.col("row").alias("id"), "text")
+    single = texts.join(F.broadcast(copies) if few else copies, texts["id"] == copies["copy"], "left_anti")
+    again = equal.filter("first").select(F.col("row").alias("copy"))
+    if again.head(1):
+        single = single.union(texts.join(again, texts["id"] == again["copy"], "left_semi").dropDuplicates(["id"]))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,9 +286,26 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     again = staged(again.join(first, ["a", "b"], "left_anti"), "join-pairs")
     if again.head(1):
         more = _verified(staged(_possible(again, profiles, percent), "join-possible"), single, percent)
-        labels = components(links.union(more))
-
-    classes_of = reps.join(labels, F.col("rep") == F.col("id"), "left").select("signature", F.coalesce("component", "rep").alias("component"))
+        links = links.union(more)
+        labels = components(links)
+
+    # Sets of one id are linked by it.
+    repeated = staged(members.filter(F.col("id") != least).groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id"), "join-repeated")
+    any_repeated = bool(repeated.head(1))
+    if any_repeated:
+        of_id = members.join(repeated, "id").join(reps.select("signature", "node"), "signature").select("id", "node")
+        star = staged(of_id.join(of_id.groupBy("id").agg(F.min("node").alias("a")), "id").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "join-same-id")
+        labels = components(links.union(star))
+
+    linked = staged(reps.join(labels, F.col("node") == F.col("id")).select("signature", "rep", "component"), "join-linked")
+    lowest = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    linked = linked.join(lowest, "component").select(F.col("signature").alias("linked"), "least")
+    classes_of = reps.join(linked, F.col("signature") == F.col("linked"), "left").select("signature", F.coalesce("least", "rep").alias("component"))
     nodes = members.join(classes_of, "signature", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    if any_repeated:
+        # Empty sets of such an id go with its others.
+        nodes = staged(nodes, "join-nodes")
+        whole = nodes.join(repeated, "id").groupBy("id").agg(F.min("component").alias("least"))
+        nodes = nodes.join(whole, "id", "left").select("id", "n", F.coalesce("least", "component").alias("component"))
     out = lambda c: F.when(F.col(c) != least, F.col(c))
     return nodes.select(out("id").alias("doc_id"), F.col("n").alias("n_shingles"), out("component").alias("component_id"))

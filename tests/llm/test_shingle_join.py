@@ -62,6 +62,27 @@ def test_null_ids_repeats_and_empty(spark):
     assert jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_other_texts_keep_their_links(spark):
+    a, b = ([f"{x}{i}" for i in range(30)] for x in "ab")
+    near = " ".join(b[:-1] + ["end"])
+    data = [(1, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (9, near), (5, ""), (7, "z " * 9), (7, "y"), (3, "y"), (2, "w x"), (2, "w x"), (8, "w  X")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert got == brute(data)
+    assert (9, len(shingles(near)), 1) in got
+
+
+def test_null_ids_are_not_one_node(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    data = [(None, a)] * 3 + [(None, b), (None, a + " more"), (4, b + " end"), (6, "q r s"), (7, "Q r s"), (8, "alone")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(docs).collect()}
+    assert got == {None: None, 4: None, 6: 6, 7: 6, 8: 8}
+    # Copies of unrelated texts without id, between rows with ids: the links of either text stay.
+    rows = [(1, a), (None, a), (None, b), (2, b)]
+    linked = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert linked.count() == 4 and linked.filter("component_id IS NULL").count() == 4
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(links).collect()}
