@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 every stage's result to the shared folder and reads it again for the next one.
+
+Every row has a key of its own, ``_row``, in the order of doc_id (null first);
+stages join and reject by it, so rows with a null or repeated doc_id are rows
+like others.  The first stage writes it, and results up to the mix carry it.
 """
 
 from __future__ import annotations
@@ -20,32 +24,46 @@ from scriptorium.llm.shingle_join import jaccard_components
 from scriptorium.sources.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ROW = "_row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row key, written once where it is new."""
+    if ROW in docs.columns:
+        return docs.select(ROW, *COLUMNS)
+    # Rows of one id may lie in several ranges, told apart by any number.
+    spread = docs.select(*COLUMNS, F.xxhash64("text", F.monotonically_increasing_id()).alias("_any"))
+    ranged = spread.repartitionByRange("doc_id", "_any").sortWithinPartitions("doc_id", "_any")
+    return staged(ranged.select(F.monotonically_increasing_id().alias(ROW), *COLUMNS), "pipeline-rows")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
-    scored = score_quality(docs, table(spark, sf_dir, "labels"), id_crc() % 5 == 0)
-    bad = scored.filter("predicted = 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    docs = keyed(docs)
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), id_crc() % 5 == 0, row_col=ROW)
+    bad = scored.filter("predicted = 0").select(ROW)
+    return docs.join(bad, ROW, "left_anti").select(ROW, *COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier line matches; documents left without words go."""
-    kept = dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
-    return kept.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("removed_lines") == 0)).select(*COLUMNS)
+    kept = dedup_lines(keyed(docs), id_col=ROW).withColumn("n_chars", F.length("text").cast("long"))
+    return kept.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("removed_lines") == 0)).select(ROW, *COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies."""
-    nodes = jaccard_components(docs)
-    copies = nodes.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """The first row (of the smallest id) of each group of near copies."""
+    docs = keyed(docs)
+    nodes = jaccard_components(docs, id_col=ROW)
+    copies = nodes.filter("component_id < doc_id").select(F.col("doc_id").alias(ROW))
+    return docs.join(copies, ROW, "left_anti").select(ROW, *COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    taken = mix(docs).groupBy("doc_id").agg(F.max("repeats").alias("repeats"))
-    often = docs.join(taken, "doc_id").filter("repeats > 0")
+    docs = keyed(docs)
+    taken = mix(docs, row_col=ROW).filter("repeats > 0").select(ROW, "repeats")
+    often = docs.join(taken, ROW)
     return often.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(*COLUMNS)
 
 

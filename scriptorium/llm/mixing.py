@@ -42,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: float) -> D
     return sizes.withColumn("target", F.least(F.col("source_size") * F.lit(float(most)), F.col("weight") * F.lit(float(level))))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """How many words the mix takes of every row of ``docs``.
 
     Returns doc_id, source, size (words), source_size, target (the source's),
@@ -51,10 +51,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     words differ from its target by at most half of one document (rows that
     repeat a doc_id share its hash and are taken together).  A null text has no
     words, a null source is a source, an empty table gives an empty result.
-    Other columns are not read.
+    ``row_col``: a column to return too, as a key of the row.  Other columns are
+    not read.
     """
+    row = [row_col] if row_col else []
     rows = staged(
         docs.select(
+            *row,
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -93,4 +96,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     table = targets.join(limits, "sid", "left").select(F.col("source").alias("_source"), "source_size", "target", "whole", "below")
     out = rows.join(small(table), rows["source"].eqNullSafe(table["_source"]))
     repeats = F.col("whole") + F.coalesce((F.col("hash") < F.col("below")).cast("long"), F.lit(0).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
+    return out.select(*row, "doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))

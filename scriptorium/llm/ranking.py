@@ -65,25 +65,27 @@ def fit(good: np.ndarray, bad: np.ndarray, seed: int = 4) -> tuple[np.ndarray, n
     return mean, spread, w
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, cut_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, cut_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", row_col: str | None = None) -> DataFrame:
     """Score every row of ``docs``: doc_id, held_out, score (0 to 1), predicted (score >= cut_score).
 
     ``held_out``: a column of the ids ("doc_id") whose labels are not learned
     from.  Labels that are null or that name no document count for nothing; of
     several labels of an id the smallest counts.  Without labels of both classes
     every document scores alike.  Null and empty texts are scored like others,
-    null ids are held out.  An empty table gives an empty result.  Other columns
-    are not read.
+    null ids are held out.  An empty table gives an empty result.  ``row_col``: a
+    column to return too, as a key of the row.  Other columns are not read.
     """
+    row = [row_col] if row_col else []
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), pa.array(rows, pa.list_(pa.float64()))], [*keys, "x"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    described = staged(rows.mapInArrow(describe, f"doc_id {kind}, x array<double>"), "quality-features")
+    rows = docs.select(*row, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    keys = rows.columns[:-1]
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
+    described = staged(rows.mapInArrow(describe, f"{kinds}, x array<double>"), "quality-features")
     described = described.withColumn("held_out", F.coalesce(held_out, F.lit(True)))
 
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).filter("label IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label"))
@@ -98,9 +100,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, cut_scor
         for batch in batches:
             x = np.array(batch.column("x").to_pylist(), float).reshape(-1, len(weights))
             u = np.clip((x - mean) / spread, -6, 6) @ weights
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(u, pa.float64())], ["doc_id", "held_out", "u"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, [*keys, "held_out"]), pa.array(u, pa.float64())], [*keys, "held_out", "u"])
 
-    valued = staged(described.select("doc_id", "held_out", "x").mapInArrow(value, f"doc_id {kind}, held_out boolean, u double"), "quality-values")
+    valued = staged(described.select(*keys, "held_out", "x").mapInArrow(value, f"{kinds}, held_out boolean, u double"), "quality-values")
     known = valued.filter(~F.col("held_out")).join(marks, "doc_id")
     share = known.agg(F.avg((F.col("label") == 0).cast("double"))).first()[0] or 0.0
     # The middle of the quantiles around the share, as classes may lie apart there.
@@ -108,5 +110,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, cut_scor
     cut = (low + high) / 2
     distance = F.least(F.greatest(F.col("u") - cut, F.lit(-30.0)), F.lit(30.0)) + math.log(cut_score / (1 - cut_score))
     score = 1 / (1 + F.exp(-distance))
-    out = valued.select("doc_id", "held_out", score.alias("score"))
+    out = valued.select(*keys, "held_out", score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= cut_score).cast("int"))

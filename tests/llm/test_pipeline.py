@@ -79,3 +79,44 @@ def test_tokens(spark):
     for i, text, _ in data:
         ids = enc.encode_ordinary(text or "")
         assert got[i] == (len(ids), hashlib.sha256(b"".join(t.to_bytes(4, "little") for t in ids)).hexdigest())
+
+
+LONG = " ".join(f"w{i}" for i in range(40))
+
+
+def odd_rows():
+    """Null ids and an id that repeats, with equal and with other texts."""
+    other = " ".join(f"v{i}" for i in range(40))
+    return [(None, LONG, "a"), (None, LONG, "a"), (4, LONG, "a"), (5, LONG + " end", "a"), (5, other, "a"), (5, other, "b"), (9, other + " end", "b"), (None, "lone text", "b")]
+
+
+def test_near_copies_without_or_with_repeated_ids(spark):
+    got = sorted((str(r.doc_id), r.text.split()[0]) for r in P.near_copies(spark, documents(spark, odd_rows()), "").collect())
+    assert got == [("5", "v0"), ("None", "lone"), ("None", "w0")]
+
+
+def test_lines_without_or_with_repeated_ids(spark):
+    got = sorted((str(r.doc_id), r.text.split()[0]) for r in P.lines(spark, documents(spark, odd_rows()), "").collect())
+    assert got == [("5", "v0"), ("None", "lone"), ("None", "w0")]
+
+
+def test_mix_takes_rows_without_or_with_repeated_ids(spark):
+    # Sources take different whole repeats: a row has its own source's.
+    data = [(None, "x y", "a"), (1, "p " * 30, "a"), (1, "q", "b"), (2, "r", "b"), (None, "s", "b")]
+    docs = P.keyed(documents(spark, data))
+    want = {r[P.ROW]: r.repeats for r in P.mix(docs, row_col=P.ROW).collect()}
+    assert len(want) == len(data)
+    by_row = {r[P.ROW]: (r.doc_id, r.text) for r in docs.collect()}
+    expected = sorted(str(by_row[k]) for k, n in want.items() for _ in range(n))
+    got = sorted(str((r.doc_id, r.text)) for r in P.mixed(spark, docs, "").collect())
+    assert got == expected and any("None" in x for x in got)
+
+
+def test_quality_rejects_by_row(spark, monkeypatch):
+    good = " ".join(f"Plain sentence number {i} reads well." for i in range(9))
+    bad = "!!! $$$ " * 40
+    data = [(i, good + f" {i}" if i % 2 else bad + f"{i}", "a") for i in range(60)] + [(None, bad, "a"), (None, good, "a"), (70, good, "a"), (70, bad, "a")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    monkeypatch.setattr(P, "table", lambda *_: labels)
+    got = sorted((str(r.doc_id), r.text[0]) for r in P.quality(spark, documents(spark, data), "").collect())
+    assert got == sorted([(str(i), "P") for i in range(1, 60, 2)] + [("None", "P"), ("70", "P")])
