@@ -121,7 +121,7 @@ def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_syncmers")
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = compare_with_edits(table(spark, sf_dir, "documents"))
-    prints = (fingerprint_text(F.col(c)).alias(n) for c, n in (("anchors", "fingerprint"), ("edited_anchors", "edited_fingerprint")))
+    prints = (fingerprint_text(F.col(c)).alias(n) for c, n in (("places", "fingerprint"), ("edited_places", "edited_fingerprint")))
     return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *prints, "near_edited", "near_next")
 
 

@@ -4,7 +4,7 @@ import re
 import xxhash
 from pyspark.sql import functions as F
 
-from scriptorium.llm.syncmers import K, PLACE_BITS, S, SIZE, anchor_matches, anchors, compare_with_edits, likeness
+from scriptorium.llm.syncmers import K, PLACE_BITS, S, SIZE, anchor_matches, anchors, compare_with_edits, likeness, places
 
 
 def hash_of(*values):
@@ -85,3 +85,23 @@ def test_matches_give_places(spark):
     df = spark.createDataFrame([("k a b c d e f g", "z z k a b c d e f g")], "x string, y string").select(anchors(F.col("x")).alias("x"), anchors(F.col("y")).alias("y"))
     (r,) = df.select(anchor_matches(F.col("x"), F.col("y")).alias("m"), likeness(F.col("x"), F.col("y")).alias("l")).collect()
     assert r["m"] and all(p["in_b"] - p["in_a"] == 2 for p in r["m"]) and 0 < r["l"] <= 1
+
+
+def test_a_passage_is_found_between_long_texts(spark):
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    passage, long, longer = fresh(60), fresh(1500), fresh(4000)
+    long[700:700], longer[3000:3000] = passage, passage
+    df = spark.createDataFrame([(" ".join(long), " ".join(longer))], "x string, y string").select(places(F.col("x")).alias("x"), places(F.col("y")).alias("y"))
+    (r,) = df.select("x", "y", anchor_matches(F.col("x"), F.col("y")).alias("m"), likeness(F.col("x"), F.col("y")).alias("l")).collect()
+    assert len(r["x"]) > 800 and len(r["y"]) > 2200
+    assert len(r["m"]) > 20 and all(p["in_b"] - p["in_a"] == 2300 for p in r["m"])
+    assert abs(r["l"] - 2 * len(r["m"]) / (len(r["x"]) + len(r["y"]))) < 1e-12
+
+
+def test_every_place_of_a_repeated_anchor_stays(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j " * 30)], "doc_id long, text string")
+    (r,) = compare_with_edits(docs).collect()
+    assert len(r["anchors"]) <= 13 and len(r["places"]) >= 29 * 4
+    assert {a >> PLACE_BITS for a in r["places"]} == {a >> PLACE_BITS for a in r["anchors"]}
+    assert r["near_next"] == 1
