@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.bpe import encode_documents
 from scriptorium.llm.context_mixing import score_texts
+from scriptorium.llm.filter_audit import audit_documents
 from scriptorium.llm.line_dedup import dedup_lines
 from scriptorium.llm.mixing import mix
 from scriptorium.llm.prefix_forest import nearest
@@ -15,6 +16,7 @@ from scriptorium.llm.ranking import score_quality
 from scriptorium.llm.registry import ORACLE, QUERIES, query
 from scriptorium.llm.sharding import shard_documents
 from scriptorium.llm.shingle_join import jaccard_components
+from scriptorium.llm.suffix_dedup import cut_repeats
 from scriptorium.llm.syncmers import compare_with_edits, fingerprint_text
 from scriptorium.llm.token_files import read_token_files, write_token_files
 from scriptorium.sources.tables import table
@@ -26,6 +28,11 @@ def id_crc() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary"))
 
 
+def file_block(rows: int, blocks: int) -> Column:
+    """Blocks of neighbouring rows of a file."""
+    return F.pmod(F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / rows)), F.lit(blocks))
+
+
 @query("op1_shard_lpt")
 def op1_shard_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"), shards=16)
@@ -113,9 +120,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_context_mixing")
 def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    # Blocks of neighbouring rows of a file.
-    block = F.pmod(F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / 3000)), F.lit(1 << 22))
-    return score_texts(docs, id_crc() % 10 == 0, block)
+    return score_texts(docs, id_crc() % 10 == 0, file_block(3000, 1 << 22))
 
 
 @query("op7_syncmers")
@@ -156,3 +161,62 @@ def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return read_token_files(spark, manifest)
+
+
+OP12_SQL = r"""
+WITH w AS (
+  SELECT doc_id, COALESCE(lang, '') AS part, COALESCE(text, '') AS t,
+    list_filter(string_split_regex(COALESCE(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+l AS (SELECT doc_id, MAX((quality = 1)::INT) AS good, MAX((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+      100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+      COALESCE(w.doc_id > MIN(w.doc_id) OVER (PARTITION BY t), FALSE)] AS fails,
+    COALESCE(good, 0) AS good, COALESCE(toxic, 0) AS toxic
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, fails, COUNT(*) AS n, SUM(good) AS good, SUM(toxic) AS toxic FROM f GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (
+  SELECT a.c || b.c || d.c || e.c || g.c AS filter_order FROM x a, x b, x d, x e, x g
+  WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5),
+r AS (
+  SELECT *, list_min(list_transform(range(1, 6), lambda i: CASE WHEN fails[i] THEN strpos(filter_order, substr('ABCDE', i, 1)) ELSE 6 END)) AS gone
+  FROM c, o),
+s AS (SELECT *, unnest(range(1, 6)) AS step FROM r),
+h AS (SELECT *, fails[strpos('ABCDE', substr(filter_order, step, 1))] AS here, len(list_filter(fails, lambda v: v)) AS failed FROM s),
+a AS (
+  SELECT part, filter_order, CAST(step AS INT) AS step,
+    COALESCE(SUM(n) FILTER (gone > step), 0)::BIGINT AS kept, COALESCE(SUM(n) FILTER (gone = step), 0)::BIGINT AS removed,
+    COALESCE(SUM(n) FILTER (here AND gone < step), 0)::BIGINT AS redundant, COALESCE(SUM(n) FILTER (here AND failed = 1), 0)::BIGINT AS unique_fails,
+    COALESCE(SUM(good) FILTER (gone = step), 0)::BIGINT AS good_lost, COALESCE(SUM(toxic) FILTER (gone = step), 0)::BIGINT AS toxic_lost
+  FROM h GROUP BY part, filter_order, step)
+SELECT *, CAST(SUM(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)) AS BIGINT) AS shapley FROM a
+"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(COALESCE(text, ''))) AS x FROM documents),
+w AS (SELECT k, doc_id, s, substr(x, 2 * s + 1, 100) AS g FROM (SELECT *, unnest(range(len(x) // 2 - 49)) AS s FROM d)),
+f AS (SELECT g, MIN(doc_id) AS least FROM w GROUP BY g),
+h AS (SELECT w.k, w.s, w.s - lag(w.s) OVER (PARTITION BY w.k ORDER BY w.s) AS gap FROM w JOIN f ON w.g = f.g WHERE f.least < w.doc_id),
+r AS (SELECT *, SUM(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY s) AS run FROM h),
+p AS (SELECT k, run, MIN(s) AS a, MAX(s) + 50 AS b FROM r GROUP BY k, run),
+q AS (
+  SELECT d.k, p.a, p.b, substr(x, 2 * COALESCE(lag(p.b) OVER (PARTITION BY p.k ORDER BY p.a), 0) + 1, 2 * (p.a - COALESCE(lag(p.b) OVER (PARTITION BY p.k ORDER BY p.a), 0))) AS piece
+  FROM p JOIN d ON p.k = d.k),
+t AS (SELECT k, COUNT(*) AS n, SUM(b - a) AS gone, MAX(b) AS last, string_agg(piece, '' ORDER BY a) AS front FROM q GROUP BY k)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(COALESCE(gone, 0) AS BIGINT) AS n_removed, CAST(COALESCE(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(COALESCE(front, '') || substr(x, 2 * COALESCE(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t ON d.k = t.k
+"""
+
+
+@query("op13_suffix_dedup", OP13_SQL)
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cut_repeats(table(spark, sf_dir, "documents"), file_block(512, 1 << 40))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
