@@ -25,10 +25,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 MOST_FILTERS = 7
 
 
-def order_table(letters: str) -> Column:
-    """A constant array: every order of ``letters`` with the step (from 1) of each letter, by letter."""
-    orders = ["".join(p) for p in permutations(letters)]
-    return F.array(*[F.struct(F.lit(o).alias("filter_order"), F.array(*[F.lit(o.index(c) + 1) for c in letters]).alias("position")) for o in orders])
+def orders_of(letters: str) -> Column:
+    """A constant array: every order of ``letters``."""
+    return F.array(*[F.lit("".join(p)) for p in permutations(letters)])
+
+
+def positions(order: Column, letters: str) -> Column:
+    """The inverse permutation: the step (from 1) of each letter, by letter."""
+    return F.array(*[F.instr(order, c) for c in letters])
 
 
 def removal_step(fails: Column, position: Column, n: int) -> Column:
@@ -51,7 +55,7 @@ def audit_filters(classes: DataFrame, letters: str, weights: dict[str, str]) ->
     if size > MOST_FILTERS or len(set(letters)) < size:
         raise ValueError(f"1 to {MOST_FILTERS} different letters, not {letters!r}")
     rows = classes.groupBy("part", "fails").agg(F.sum("n").alias("n"), *[F.sum(c).alias(f"_w{i}") for i, c in enumerate(weights.values())])
-    rows = rows.select("*", F.inline(order_table(letters)))
+    rows = rows.withColumn("filter_order", F.explode(orders_of(letters))).withColumn("position", positions(F.col("filter_order"), letters))
     rows = rows.withColumn("gone", F.least(removal_step(F.col("fails"), F.col("position"), size), F.lit(size + 1)))
     rows = rows.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(size))))
     fails_here = F.get("fails", F.array_position("position", F.col("step")).cast("int") - 1)

@@ -12,6 +12,7 @@ from scriptorium.llm.filter_audit import audit_documents
 from scriptorium.llm.line_dedup import dedup_lines
 from scriptorium.llm.mixing import mix
 from scriptorium.llm.prefix_forest import nearest
+from scriptorium.llm.prefix_trie import prefix_trie
 from scriptorium.llm.ranking import score_quality
 from scriptorium.llm.registry import ORACLE, QUERIES, query
 from scriptorium.llm.sharding import shard_documents
@@ -163,6 +164,40 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, manifest)
 
 
+OP11_SQL = """
+WITH t AS (
+  SELECT conv_id, COALESCE(role, '') AS r, COALESCE(text, '') AS t, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(struct_pack(r := r, t := t) ORDER BY turn NULLS FIRST, r, t) AS turns FROM t GROUP BY conv_id),
+-- CRC-32 of the decimal id, bit by bit.
+h AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), list_transform(range(8), lambda i: 0::BIGINT)),
+      lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295) % 9 AS h FROM own),
+b AS (
+  SELECT h.conv_id, list_concat(COALESCE(o.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns
+  FROM h LEFT JOIN own o ON o.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, turns[1:d] AS node, d, len(turns) = d AS last FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM b)),
+n AS (
+  SELECT node, d, MIN(conv_id) AS conv_id, COUNT(*) AS n, sha256(COALESCE(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends
+  FROM p GROUP BY node, d),
+k AS (SELECT node[1:d - 1] AS node, COUNT(*) AS children FROM n WHERE d > 0 GROUP BY 1),
+w AS (
+  SELECT n.*, COALESCE(k.children, 0) AS children, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * strlen(n.node[-1].t) END AS saved
+  FROM n LEFT JOIN k ON n.node = k.node),
+s AS (
+  SELECT a.node, SUM(b.saved) AS saved, COUNT(*) FILTER (b.children = 0) AS leaves FROM w a JOIN w b ON b.d >= a.d AND b.node[1:a.d] = a.node
+  GROUP BY a.node)
+SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, w.n AS n_convs, CAST(w.children AS BIGINT) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, w.ends AS ends_sha256
+FROM w JOIN s ON w.node = s.node LEFT JOIN n up ON w.d > 0 AND up.d = w.d - 1 AND up.node = w.node[1:w.d - 1]
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 OP12_SQL = r"""
 WITH w AS (
   SELECT doc_id, COALESCE(lang, '') AS part, COALESCE(text, '') AS t,
