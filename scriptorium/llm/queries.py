@@ -187,7 +187,7 @@ w AS (
 s AS (
   SELECT a.node, SUM(b.saved) AS saved, COUNT(*) FILTER (b.children = 0) AS leaves FROM w a JOIN w b ON b.d >= a.d AND b.node[1:a.d] = a.node
   GROUP BY a.node)
-SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, w.n AS n_convs, CAST(w.children AS BIGINT) AS n_children,
+SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, CAST(up.conv_id AS DOUBLE) AS parent_conv_id, w.n AS n_convs, CAST(w.children AS BIGINT) AS n_children,
   CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, w.ends AS ends_sha256
 FROM w JOIN s ON w.node = s.node LEFT JOIN n up ON w.d > 0 AND up.d = w.d - 1 AND up.node = w.node[1:w.d - 1]
 """
