@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from scriptorium.functions.numeric import rnd
 
 from scriptorium.operators import clustering as C
+from scriptorium.operators import density as D
 from scriptorium.operators import structure as S
+from scriptorium.operators.neighbours import Cells, core_distances, indexed, nearest
 from scriptorium.plans.registry import fx, query
-from scriptorium.session import scratch_path
+from scriptorium.session import scratch_path, written
 
 V = ("f_vectors",)
 
@@ -103,11 +105,67 @@ def q_m12(spark, sf):
     return C.find_optimal_k(_vec(spark, sf), [5, 10, 20])
 
 
-@query("m13_silhouette")
+@query(
+    "m13_silhouette",
+    """WITH v AS (SELECT jd_id, label, CAST(features AS DOUBLE[]) AS x FROM f_vectors),
+d AS (SELECT a.jd_id, a.label, b.label AS other, list_distance(a.x, b.x) AS d FROM v a JOIN v b ON a.jd_id <> b.jd_id),
+m AS (SELECT jd_id, label, other, avg(d) AS d, avg(d * d) AS d2 FROM d GROUP BY jd_id, label, other),
+s AS (SELECT jd_id, max(d) FILTER (other = label) AS a, min(d) FILTER (other <> label) AS b, max(d2) FILTER (other = label) AS a2, min(d2) FILTER (other <> label) AS b2 FROM m GROUP BY jd_id)
+SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette,
+  round(avg(CASE WHEN a2 IS NULL THEN 0 ELSE (b2 - a2) / greatest(a2, b2) END), 6) AS silhouette_sq, CAST(count(*) AS BIGINT) AS n_points FROM s""",
+    V,
+)
 def q_m13(spark, sf):
+    """Exact Euclidean silhouette of the given labels, and the form with squared distances."""
     v = _vec(spark, sf)
-    a = v.select("jd_id", F.col("label").alias("cluster"))
-    return v.sparkSession.createDataFrame([(float(C.silhouette_sq(v, a)),)], "silhouette_sq double")
+    points = indexed(v, "jd_id", "features")
+    labels = points.join(v.select(F.col("jd_id").alias("id"), F.col("label").alias("cluster")), "id").select("p", "cluster", F.lit(0).alias("s"))
+    out = D.silhouettes(Cells(points), labels, ["s"])
+    return out.select(rnd("silhouette", 6).alias("silhouette"), rnd("silhouette_sq", 6).alias("silhouette_sq"), "n_points")
+
+
+@query(
+    "m14_core_distances",
+    """WITH v AS (SELECT jd_id, CAST(features AS DOUBLE[]) AS x FROM f_vectors),
+d AS (SELECT a.jd_id, list_distance(a.x, b.x) AS d FROM v a JOIN v b ON a.jd_id <> b.jd_id),
+r AS (SELECT jd_id, d, row_number() OVER (PARTITION BY jd_id ORDER BY d) AS rank FROM d)
+SELECT jd_id, round(d, 5) AS core_distance FROM r WHERE rank = 3""",
+    V,
+)
+def q_m14_core(spark, sf):
+    points = indexed(_vec(spark, sf), "jd_id", "features")
+    cores = core_distances(points, nearest(Cells(points), D.MIN_SAMPLES), [D.MIN_SAMPLES])
+    return points.join(cores, "p").select(F.col("id").alias("jd_id"), rnd("core", 5).alias("core_distance"))
+
+
+@query("m14_density_cluster")
+def q_m14(spark, sf):
+    model = D.DensityModel(_vec(spark, sf), [D.MIN_SAMPLES])
+    return D.density_clusters(model, [D.MIN_CLUSTER_SIZE]).select(F.col("id").alias("jd_id"), "cluster")
+
+
+@query("m15_membership_scores")
+def q_m15(spark, sf):
+    model = D.DensityModel(_vec(spark, sf), [D.MIN_SAMPLES])
+    return D.density_clusters(model, [D.MIN_CLUSTER_SIZE]).select(F.col("id").alias("jd_id"), "cluster", rnd("probability", 6).alias("probability"), rnd("outlier_score", 6).alias("outlier_score"))
+
+
+@query("m16_density_param_grid")
+def q_m16(spark, sf):
+    return D.density_grid(_vec(spark, sf))
+
+
+@query("m11_hierarchical_single")
+def q_m11(spark, sf):
+    return D.single_linkage(D.DensityModel(_vec(spark, sf), [0]), 10).withColumnRenamed("id", "jd_id")
+
+
+@query("m22_density_assignments")
+def q_m22_density(spark, sf):
+    """Assignments of cluster 0 and of the noise points, with their scores (M22 over M14's result)."""
+    model = D.DensityModel(_vec(spark, sf), [D.MIN_SAMPLES])
+    rows = written(D.density_clusters(model, [D.MIN_CLUSTER_SIZE]), "assignments").select(F.col("id").alias("jd_id"), "cluster", "probability", "outlier_score")
+    return rows.where("cluster = 0").unionByName(rows.where("cluster = -1"))
 
 
 @query("m18_structure_kmeans")
