@@ -2,26 +2,34 @@
 M18, M20, M22, M24, A47).
 
 Vectors live in rows keyed by id (``jd_id, features array<float>``), never by
-position.  Training runs on Spark ML estimators (distributed k-means|| init,
-Lloyd iterations as map + reduce over partitions); scoring uses
-``ClusteringEvaluator`` (squared Euclidean silhouette in linear time, which
-differs from the plain Euclidean silhouette of the reference - reported under
-its own name).
+position.  k-means is one Lloyd pass for all settings and restarts at once;
+the exact silhouette comes from distance blocks, the squared form of
+``ClusteringEvaluator`` in linear time goes under its own name.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.arrays import let
+from scriptorium.operators.density import silhouettes
+from scriptorium.operators.neighbours import Cells, indexed, matrix
+from scriptorium.session import written
 
 SEED = 42
 RESTARTS = 10
+# Points that starts are drawn from, passes a run may take, and the move (share of the variance) that ends it.
+START_ROWS, MOST_PASSES, TOLERANCE = 2000, 300, 1e-4
 K_RANGE = [5, 10, 15, 20, 25, 30, 35, 40, 45, 50]
 
 
@@ -70,27 +78,130 @@ def _vectors(df: DataFrame, features: str = "features") -> DataFrame:
     return df.withColumn("_fv", array_to_vector(F.col(features)))
 
 
-def kmeans(df: DataFrame, k: int = 10, seed: int = SEED, restarts: int = RESTARTS, features: str = "features", id_field: str = "jd_id"):
-    """Best of ``restarts`` k-means runs (lowest training cost).
+def _first_centres(points: DataFrame, runs: list[tuple[int, int]], seed: int) -> dict[tuple[int, int], np.ndarray]:
+    """k-means++ starts of every (k, restart) on at most ``START_ROWS`` points chosen by hash; the passes read all points."""
+    rows = points.select("x").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(START_ROWS).collect()
+    x = np.array([r[0] for r in rows])
+    starts = {}
+    for k, r in runs:
+        rng = np.random.default_rng([seed, k, r])
+        chosen = [int(rng.integers(len(x)))]
+        near = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+        for _ in range(min(k, len(x)) - 1):
+            total = near.sum()
+            chosen.append(int(rng.choice(len(x), p=near / total)) if total > 0 else int(rng.integers(len(x))))
+            near = np.minimum(near, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+        starts[k, r] = x[chosen]
+    return starts
+
+
+def _nearest_centres(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = (x * x).sum(axis=1)[:, None] - 2 * (x @ centres.T) + (centres * centres).sum(axis=1)[None, :]
+    at = d.argmin(axis=1)
+    return at, np.maximum(d[np.arange(len(x)), at], 0.0)
+
+
+def lloyd(points: DataFrame, runs: list[tuple[int, int]], seed: int = SEED, most: int = MOST_PASSES) -> dict[tuple[int, int], tuple[np.ndarray, float]]:
+    """Centres and cost of every run (k, restart), with one scan of ``points`` (id, x) a pass for all of them.
+
+    A pass sums each partition by (run, cluster) inside the task; the partial
+    sums are added by (run, cluster) and only centres reach the driver.  A run
+    stops when its centres move less than ``TOLERANCE`` of the variance.
+    """
+    centres = _first_centres(points, runs, seed)
+    costs, active = {}, list(runs)
+    schema = "run int, cluster int, n long, cost double, total array<double>"
+
+    def one_pass(asked: list[tuple[int, int]]) -> dict[int, list]:
+        given = [centres[r] for r in asked]
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: dict[tuple[int, int], list] = {}
+
+            def put(key: tuple[int, int], n: int, cost: float, total: np.ndarray) -> None:
+                have = kept.setdefault(key, [0, 0.0, 0.0])
+                have[0], have[1], have[2] = have[0] + n, have[1] + cost, have[2] + total
 
-    Returns (assignments (id, cluster), centres (cluster, center), cost).
-    The input is cached once for the restarts and unpersisted afterwards.
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = matrix(batch.column("x"))
+                put((-1, 0), len(x), float((x * x).sum()), x.sum(axis=0))
+                for i, c in enumerate(given):
+                    at, cost = _nearest_centres(x, c)
+                    n, sums = np.bincount(at, minlength=len(c)), np.bincount(at, cost, len(c))
+                    hot = np.zeros((len(c), len(x)))
+                    hot[at, np.arange(len(x))] = 1.0
+                    total = hot @ x
+                    for j in np.flatnonzero(n):
+                        put((i, int(j)), int(n[j]), float(sums[j]), total[j])
+            if kept:
+                columns = zip(*[(i, j, n, cost, total) for (i, j), (n, cost, total) in kept.items()], strict=True)
+                types = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["run", "cluster", "n", "cost", "total"])
+
+        def sum_up(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"run": rows["run"][:1], "cluster": rows["cluster"][:1], "n": [rows["n"].sum()], "cost": [rows["cost"].sum()], "total": [np.sum(np.stack(rows["total"].to_list()), axis=0)]})
+
+        out: dict[int, list] = {}
+        for r in points.select("x").mapInArrow(add, schema).groupBy("run", "cluster").applyInPandas(sum_up, schema).collect():
+            out.setdefault(r["run"], []).append(r)
+        return out
+
+    for number in range(most + 1):
+        found = one_pass(active)
+        whole = found[-1][0]
+        mean = np.array(whole["total"]) / whole["n"]
+        variance = max(whole["cost"] / whole["n"] - float(mean @ mean), 0.0) / max(len(mean), 1)
+        going = []
+        for i, run in enumerate(active):
+            costs[run] = sum(r["cost"] for r in found[i])
+            new = centres[run].copy()
+            for r in found[i]:
+                new[r["cluster"]] = np.array(r["total"]) / r["n"]
+            # The cost belongs to the centres of the pass; they stay when they no longer move.
+            if ((new - centres[run]) ** 2).sum() > TOLERANCE * variance and number < most:
+                centres[run] = new
+                going.append(run)
+        active = going
+        if not active:
+            break
+    return {run: (centres[run], costs[run]) for run in runs}
+
+
+def kmeans_many(df: DataFrame, ks: list[int], seed: int = SEED, restarts: int = RESTARTS, features: str = "features", id_field: str = "jd_id"):
+    """M09 for several k at once: the best of ``restarts`` runs of each k.
+
+    Returns (assignments (k, id, cluster), centres (k, cluster, center), costs
+    {k: cost}).  A k above the number of points is taken as that number.  The
+    vectors are written once under the shared folder and scanned once a pass
+    for all runs; rows without a vector take no part.
     """
-    v = _vectors(df.select(id_field, features), features).cache()
-    try:
-        best = None
-        for r in range(restarts):
-            m = KMeans(k=k, seed=seed + r, featuresCol="_fv", predictionCol="cluster", initMode="k-means||").fit(v)
-            cost = m.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = (m, cost)
-        model, cost = best
-        assign = model.transform(v).select(id_field, F.col("cluster").cast("int").alias("cluster"))
-        spark = df.sparkSession
-        centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, center array<double>")
-        return assign, centres, cost
-    finally:
-        v.unpersist()
+    points = written(df.where(F.col(features).isNotNull()).select(F.col(id_field).alias("id"), F.col(features).cast("array<double>").alias("x")), "kmeans")
+    spark = df.sparkSession
+    key = df.schema[id_field].dataType.simpleString()
+    if not points.head(1):
+        return spark.createDataFrame([], f"k int, {id_field} {key}, cluster int"), spark.createDataFrame([], "k int, cluster int, center array<double>"), {}
+    runs = lloyd(points, [(k, r) for k in ks for r in range(restarts)], seed)
+    best = {k: min(((cost, r, c) for (j, r), (c, cost) in runs.items() if j == k), key=lambda v: v[:2]) for k in ks}
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column("x"))
+                for k, (_, _, c) in best.items():
+                    at, _ = _nearest_centres(x, c)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), batch.column("id"), pa.array(at.astype(np.int32))], names=["k", id_field, "cluster"])
+
+    assignments = points.mapInArrow(assign, f"k int, `{id_field}` {key}, cluster int")
+    centres = spark.createDataFrame([(k, i, [float(v) for v in row]) for k, (_, _, c) in best.items() for i, row in enumerate(c)], "k int, cluster int, center array<double>")
+    return assignments, centres, {k: float(b[0]) for k, b in best.items()}
+
+
+def kmeans(df: DataFrame, k: int = 10, seed: int = SEED, restarts: int = RESTARTS, features: str = "features", id_field: str = "jd_id"):
+    """(assignments (id, cluster), centres (cluster, center), cost) of the best of ``restarts`` runs."""
+    assignments, centres, costs = kmeans_many(df, [k], seed, restarts, features, id_field)
+    return assignments.drop("k"), centres.drop("k"), costs.get(k, 0.0)
 
 
 def bisecting(df: DataFrame, k: int = 10, seed: int = SEED, features: str = "features", id_field: str = "jd_id") -> DataFrame:
@@ -107,16 +218,18 @@ def silhouette_sq(df: DataFrame, assign: DataFrame, features: str = "features",
     return ev.evaluate(j)
 
 
-def find_optimal_k(df: DataFrame, k_values=K_RANGE, restarts: int = 1, features: str = "features", id_field: str = "jd_id") -> DataFrame:
-    """Silhouette per k (k >= n skipped); the best k is ``max_by(k, silhouette)``."""
-    n = df.count()
-    rows = []
-    for k in k_values:
-        if k >= n:
-            continue
-        a, _, cost = kmeans(df, k, restarts=restarts, features=features, id_field=id_field)
-        rows.append((int(k), float(silhouette_sq(df, a, features, id_field)), float(cost)))
-    return df.sparkSession.createDataFrame(rows, "k int, silhouette_sq double, cost double")
+def find_optimal_k(df: DataFrame, k_values=K_RANGE, restarts: int = RESTARTS, features: str = "features", id_field: str = "jd_id") -> DataFrame:
+    """(k, silhouette, silhouette_sq, cost, best) per k (k >= n skipped); best marks the largest exact silhouette, ties to the smaller k."""
+    points = indexed(df, id_field, features)
+    n = points.count()
+    ks = [k for k in k_values if k < n]
+    assignments, _, costs = kmeans_many(df, ks, restarts=restarts, features=features, id_field=id_field)
+    labels = written(points.select("p", F.col("id").alias(id_field)).join(assignments, id_field), "optimal-k")
+    scores = silhouettes(Cells(points), labels.select("k", "p", "cluster"), ["k"])
+    cost = F.coalesce(*[F.when(F.col("k") == k, F.lit(c)) for k, c in costs.items()], F.lit(None).cast("double"))
+    # One row for each k.
+    rank = F.row_number().over(Window.orderBy(F.desc_nulls_last("silhouette"), "k"))
+    return scores.select("k", "silhouette", "silhouette_sq", cost.alias("cost"), (rank == 1).alias("best"))
 
 
 def project_2d(df: DataFrame, k: int = 2, features: str = "features", id_field: str = "jd_id") -> DataFrame:

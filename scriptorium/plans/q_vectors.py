@@ -91,7 +91,7 @@ def q_m01(spark, sf):
 
 @query("m09_kmeans")
 def q_m09(spark, sf):
-    a, _, _ = C.kmeans(_vec(spark, sf), k=10, restarts=3)
+    a, _, _ = C.kmeans(_vec(spark, sf), k=10)
     return a
 
 
@@ -102,7 +102,7 @@ def q_m10(spark, sf):
 
 @query("m12_find_optimal_k")
 def q_m12(spark, sf):
-    return C.find_optimal_k(_vec(spark, sf), [5, 10, 20])
+    return C.find_optimal_k(_vec(spark, sf))
 
 
 @query(
@@ -174,7 +174,7 @@ def q_m18(spark, sf):
     types = S.all_section_types()
     vec = S.structure_vectors(parsed, types=types)
     feats = vec.select("jd_id", F.array(*[F.col(t).cast("float") for t in types]).alias("features"))
-    a, _, _ = C.kmeans(feats, k=5, restarts=2)
+    a, _, _ = C.kmeans(feats, k=5)
     return S.structure_cluster_profile(vec, a, types)
 
 
@@ -187,7 +187,7 @@ def q_m20(spark, sf):
 def q_m21(spark, sf):
     v = _vec(spark, sf)
     pts = C.project_2d(v)
-    a, _, _ = C.kmeans(v, k=10, restarts=1)
+    a, _, _ = C.kmeans(v, k=10)
     return pts.join(a, "jd_id").join(fx(spark, sf, "f_meta").select("jd_id", "title", "division"), "jd_id", "left")
 
 
@@ -212,7 +212,7 @@ def q_m19(spark, sf):
     parts = []
     for g in gate:
         e = C.embed_text(keyed.where(F.col("section_type") == g["section_type"]), text_col="content")
-        a, _, _ = C.kmeans(e, k=int(g["k"]), restarts=1)
+        a, _, _ = C.kmeans(e, k=int(g["k"]))
         parts.append(a.select(F.lit(g["section_type"]).alias("section_type"), F.split("jd_id", "\\|")[1].alias("jd_id"), "cluster"))
     out = parts[0]
     for p in parts[1:]:
