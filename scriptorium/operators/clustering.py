@@ -105,7 +105,7 @@ def lloyd(points: DataFrame, runs: list[tuple[int, int]], seed: int = SEED, most
     """Centres and cost of every run (k, restart), with one scan of ``points`` (id, x) a pass for all of them.
 
     A pass sums each partition by (run, cluster) inside the task; the partial
-    sums are added by (run, cluster) and only centres reach the driver.  A run
+    sums are added by run and only centres reach the driver.  A run
     stops when its centres move less than ``TOLERANCE`` of the variance.
     """
     centres = _first_centres(points, runs, seed)
@@ -141,10 +141,15 @@ def lloyd(points: DataFrame, runs: list[tuple[int, int]], seed: int = SEED, most
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["run", "cluster", "n", "cost", "total"])
 
         def sum_up(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"run": rows["run"][:1], "cluster": rows["cluster"][:1], "n": [rows["n"].sum()], "cost": [rows["cost"].sum()], "total": [np.sum(np.stack(rows["total"].to_list()), axis=0)]})
+            """The sums of one run: as many rows as clusters, for each task that sent some."""
+            cluster, where = np.unique(rows["cluster"], return_inverse=True)
+            total = np.zeros((len(cluster), len(rows["total"].iloc[0])))
+            np.add.at(total, where, np.stack(rows["total"].to_list()))
+            n, cost = np.bincount(where, rows["n"]).astype(np.int64), np.bincount(where, rows["cost"])
+            return pd.DataFrame({"run": rows["run"].iloc[0], "cluster": cluster, "n": n, "cost": cost, "total": list(total)})
 
         out: dict[int, list] = {}
-        for r in points.select("x").mapInArrow(add, schema).groupBy("run", "cluster").applyInPandas(sum_up, schema).collect():
+        for r in points.select("x").mapInArrow(add, schema).groupBy("run").applyInPandas(sum_up, schema).collect():
             out.setdefault(r["run"], []).append(r)
         return out
 
