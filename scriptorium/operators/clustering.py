@@ -80,8 +80,8 @@ def _vectors(df: DataFrame, features: str = "features") -> DataFrame:
 
 def _first_centres(points: DataFrame, runs: list[tuple[int, int]], seed: int) -> dict[tuple[int, int], np.ndarray]:
     """k-means++ starts of every (k, restart) on at most ``START_ROWS`` points chosen by hash; the passes read all points."""
-    rows = points.select("x").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(START_ROWS).collect()
-    x = np.array([r[0] for r in rows])
+    rows = points.select("x").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(START_ROWS).toArrow()
+    x = matrix(rows.column("x").combine_chunks())
     starts = {}
     for k, r in runs:
         rng = np.random.default_rng([seed, k, r])
@@ -149,21 +149,23 @@ def lloyd(points: DataFrame, runs: list[tuple[int, int]], seed: int = SEED, most
             return pd.DataFrame({"run": rows["run"].iloc[0], "cluster": cluster, "n": n, "cost": cost, "total": list(total)})
 
         out: dict[int, list] = {}
-        for r in points.select("x").mapInArrow(add, schema).groupBy("run").applyInPandas(sum_up, schema).collect():
-            out.setdefault(r["run"], []).append(r)
+        sums = points.select("x").mapInArrow(add, schema).groupBy("run").applyInPandas(sum_up, schema).toArrow().combine_chunks()
+        totals = matrix(sums.column("total").combine_chunks())
+        for total, run, cluster, n, cost in zip(totals, *[sums.column(c).to_pylist() for c in ("run", "cluster", "n", "cost")], strict=True):
+            out.setdefault(run, []).append({"cluster": cluster, "n": n, "cost": cost, "total": total})
         return out
 
     for number in range(most + 1):
         found = one_pass(active)
         whole = found[-1][0]
-        mean = np.array(whole["total"]) / whole["n"]
+        mean = whole["total"] / whole["n"]
         variance = max(whole["cost"] / whole["n"] - float(mean @ mean), 0.0) / max(len(mean), 1)
         going = []
         for i, run in enumerate(active):
             costs[run] = sum(r["cost"] for r in found[i])
             new = centres[run].copy()
             for r in found[i]:
-                new[r["cluster"]] = np.array(r["total"]) / r["n"]
+                new[r["cluster"]] = r["total"] / r["n"]
             # The cost belongs to the centres of the pass; they stay when they no longer move.
             if ((new - centres[run]) ** 2).sum() > TOLERANCE * variance and number < most:
                 centres[run] = new
@@ -174,8 +176,8 @@ def lloyd(points: DataFrame, runs: list[tuple[int, int]], seed: int = SEED, most
     return {run: (centres[run], costs[run]) for run in runs}
 
 
-def kmeans_many(df: DataFrame, ks: list[int], seed: int = SEED, restarts: int = RESTARTS, features: str = "features", id_field: str = "jd_id"):
-    """M09 for several k at once: the best of ``restarts`` runs of each k.
+def kmeans_many(df: DataFrame, ks: list[int], seed: int = SEED, restarts: int = RESTARTS, features: str = "features", id_field: str = "jd_id", most: int = MOST_PASSES):
+    """M09 for several k at once: the best of ``restarts`` runs of each k, of at most ``most`` passes.
 
     Returns (assignments (k, id, cluster), centres (k, cluster, center), costs
     {k: cost}).  A k above the number of points is taken as that number.  The
@@ -187,7 +189,7 @@ def kmeans_many(df: DataFrame, ks: list[int], seed: int = SEED, restarts: int =
     key = df.schema[id_field].dataType.simpleString()
     if not points.head(1):
         return spark.createDataFrame([], f"k int, {id_field} {key}, cluster int"), spark.createDataFrame([], "k int, cluster int, center array<double>"), {}
-    runs = lloyd(points, [(k, r) for k in ks for r in range(restarts)], seed)
+    runs = lloyd(points, [(k, r) for k in ks for r in range(restarts)], seed, most)
     best = {k: min(((cost, r, c) for (j, r), (c, cost) in runs.items() if j == k), key=lambda v: v[:2]) for k in ks}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +205,9 @@ def kmeans_many(df: DataFrame, ks: list[int], seed: int = SEED, restarts: int =
     return assignments, centres, {k: float(b[0]) for k, b in best.items()}
 
 
-def kmeans(df: DataFrame, k: int = 10, seed: int = SEED, restarts: int = RESTARTS, features: str = "features", id_field: str = "jd_id"):
+def kmeans(df: DataFrame, k: int = 10, seed: int = SEED, restarts: int = RESTARTS, features: str = "features", id_field: str = "jd_id", most: int = MOST_PASSES):
     """(assignments (id, cluster), centres (cluster, center), cost) of the best of ``restarts`` runs."""
-    assignments, centres, costs = kmeans_many(df, [k], seed, restarts, features, id_field)
+    assignments, centres, costs = kmeans_many(df, [k], seed, restarts, features, id_field, most)
     return assignments.drop("k"), centres.drop("k"), costs.get(k, 0.0)
 
 

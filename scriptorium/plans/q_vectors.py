@@ -212,7 +212,7 @@ def q_m19(spark, sf):
     parts = []
     for g in gate:
         e = C.embed_text(keyed.where(F.col("section_type") == g["section_type"]), text_col="content")
-        a, _, _ = C.kmeans(e, k=int(g["k"]))
+        a, _, _ = C.kmeans(e, k=int(g["k"]), restarts=3, most=10)
         parts.append(a.select(F.lit(g["section_type"]).alias("section_type"), F.split("jd_id", "\\|")[1].alias("jd_id"), "cluster"))
     out = parts[0]
     for p in parts[1:]:
