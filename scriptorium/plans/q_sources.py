@@ -221,3 +221,13 @@ def q_a03(spark, sf):
 )
 def q_t16(spark, sf):
     return _summary(spark, sf).select("path", path_depth("path").cast("bigint").alias("depth"), path_leaf("path").alias("leaf"))
+
+
+@query(
+    "s12_chunked_scan",
+    """SELECT jd_id, CAST((row_number() OVER (ORDER BY jd_id) - 1) // 1000 AS BIGINT) AS chunk FROM f_meta""",
+    ("f_meta",),
+)
+def q_s12(spark, sf):
+    """Chunks of 1,000 records by id, the last one partial."""
+    return R.record_chunks(fx(spark, sf, "f_meta").select("jd_id"), ["jd_id"], 1000)

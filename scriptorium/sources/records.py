@@ -10,26 +10,30 @@ ordinary splittable ``json`` source.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptorium.session import written
+
 SYSTEM_FIELDS = ["_rid", "_self", "_etag", "_attachments", "_ts"]
 
 
 def read_json_files(spark: SparkSession, path: str, pattern: str = "*.json", encoding: str = "utf-8") -> DataFrame:
-    """S01 + S04: one row per file: (_source_file, value string), sorted by file path."""
+    """S01 + S04: one row per file: (_source_file, value string), sorted by file path; no matching file is an error."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return raw.select(F.col("path").alias("_source_file"), F.decode("content", encoding).alias("value"))
+    if not raw.select("path").head(1):
+        raise FileNotFoundError(f"no file in {path} matches {pattern}")
+    return raw.orderBy("path").select(F.col("path").alias("_source_file"), F.decode("content", encoding).alias("value"))
 
 
 def file_stats(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """File count, total MB (2 dp), first 10 names, truncated flag (content column pruned)."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
-    names = F.array_sort(F.collect_list(F.element_at(F.split("path", "/"), -1)))
+    first = raw.select(F.element_at(F.split("path", "/"), -1).alias("name")).orderBy("name").limit(10)
     return raw.agg(
         F.count(F.lit(1)).cast("bigint").alias("num_files"),
         F.round(F.sum("length") / 1048576.0, 2).alias("total_size_mb"),
-        F.slice(names, 1, 10).alias("files"),
+        first.select(F.array_sort(F.collect_list("name"))).scalar().alias("files"),
         (F.count(F.lit(1)) > 10).alias("files_truncated"),
     )
 
@@ -73,11 +77,28 @@ def drop_system_fields(df: DataFrame) -> DataFrame:
     return df.drop(*SYSTEM_FIELDS)
 
 
-def read_source(spark: SparkSession, fmt: str, path: str | None = None, **options) -> DataFrame:
+def record_chunks(df: DataFrame, order_by: list[str], size: int = 1000) -> DataFrame:
+    """Rows with their ``chunk`` (from 0) of ``size`` records in the order of ``order_by``; the last chunk is the rest.
+
+    Rows are numbered by range partition: the partitions' counts, one row a
+    partition, give each its first number, so no task holds more than its part.
+    Rows equal in ``order_by`` fall in any order among themselves.
+    """
+    ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    rows = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "chunks").withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    number = F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(parts, "_part").withColumn("chunk", F.floor(number / size).cast("bigint")).drop("_at", "_part", "_first")
+
+
+def read_source(spark: SparkSession, fmt: str, path: str | None = None, schema: str | None = None, **options) -> DataFrame:
     """Any Spark data source by format name (parquet,
     csv, json, a DSv2 connector ...). Filters and projections on the result
     are pushed to the source by Catalyst."""
     r = spark.read.format(fmt).options(**options)
+    if schema is not None:
+        r = r.schema(schema)
     return r.load(path) if path else r.load()
 
 
