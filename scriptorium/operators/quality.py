@@ -81,6 +81,53 @@ def import_csv_evaluations(raw: DataFrame, id_field: str = "jd_id", order_col: s
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_ord").transform(with_rubric)
 
 
+SCORES = [*DIMENSIONS, "overall_score"]
+NOTES = [*[f"{d}_notes" for d in DIMENSIONS], "overall_notes"]
+# jd_data of any fields; scores that are no whole numbers read as null.
+EVALUATION_SCHEMA = (
+    "jd_data map<string,string>, evaluation struct<"
+    + ",".join([*[f"{c}:int" for c in SCORES], *[f"{c}:string" for c in NOTES], "is_gold_standard:boolean"])
+    + ">"
+)
+
+
+def evaluation_records(sample: DataFrame, fields: list[str], id_field: str = "jd_id") -> DataFrame:
+    """Nested records {jd_data, evaluation}, one for each row of ``sample``.
+
+    jd_data holds the ``fields`` that ``sample`` has, as text.  Scores, notes
+    and the gold flag come from columns of ``sample``, else they are blank:
+    null, empty and false.
+    """
+    have = [f for f in dict.fromkeys([id_field, *fields]) if f in sample.columns]
+    data = F.map_from_arrays(F.array(*[F.lit(f) for f in have]), F.array(*[F.col(f).cast("string") for f in have]))
+    scores = [(F.col(c).cast("int") if c in sample.columns else F.lit(None).cast("int")).alias(c) for c in SCORES]
+    notes = [(F.coalesce(F.col(c), F.lit("")) if c in sample.columns else F.lit("")).alias(c) for c in NOTES]
+    gold = F.coalesce(F.col("is_gold_standard"), F.lit(False)) if "is_gold_standard" in sample.columns else F.lit(False)
+    return sample.select(data.alias("jd_data"), F.struct(*scores, *notes, gold.alias("is_gold_standard")).alias("evaluation"))
+
+
+def import_json_evaluations(records: DataFrame, id_field: str = "jd_id", order_col: str | None = None) -> DataFrame:
+    """F03 on {jd_data, evaluation}: rows with an id and a non-empty evaluation; the last row of an id wins.
+
+    Missing notes become empty, a missing gold flag false.  Unlike the sheet,
+    an evaluation without scores counts.
+    """
+    e = F.col("evaluation")
+    some = F.coalesce(*[e[c].cast("string") for c in [*SCORES, *NOTES, "is_gold_standard"]]).isNotNull()
+    given = F.try_element_at("jd_data", F.lit(id_field))
+    order = F.col(order_col) if order_col else F.monotonically_increasing_id()
+    rows = records.select(
+        given.alias(id_field),
+        *[e[c].alias(c) for c in SCORES],
+        *[F.coalesce(e[c], F.lit("")).alias(c) for c in NOTES],
+        F.coalesce(e["is_gold_standard"], F.lit(False)).alias("is_gold_standard"),
+        order.alias("_ord"),
+        some.alias("_some"),
+    ).where(F.col("_some") & (F.coalesce(F.col(id_field), F.lit("")) != ""))
+    last = rows.groupBy(id_field).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (id_field, "_ord", "_some")]), "_ord").alias("row"))
+    return last.select(id_field, "row.*").transform(with_rubric)
+
+
 def merge_metadata(
     evals: DataFrame,
     sample: DataFrame,

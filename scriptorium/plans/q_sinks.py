@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from scriptorium.functions.numeric import rnd
 
 from scriptorium.operators import archetypes as A
-from scriptorium.operators import sampling
+from scriptorium.operators import quality, sampling
 from scriptorium.plans.registry import fx, query
 from scriptorium.session import scratch_path
-from scriptorium.sources.records import write_table
+from scriptorium.sources.records import read_evaluations, write_table
 
 EVAL_COLUMNS = [
     f"eval_{d}{s}" for d in ["completeness", "clarity", "specificity", "compliance", "actionability", "overall_score"] for s in ("", "_notes")
@@ -61,3 +61,21 @@ def q_k04(spark, sf):
     back = spark.read.option("header", True).csv(path)
     # CSV has no empty-string/NULL distinction; blanks come back as NULL
     return back.select("jd_id", "org_unit", "level", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in EVAL_COLUMNS])
+
+
+@query(
+    "k04_eval_json",
+    """WITH s AS (SELECT jd_id, completeness, clarity, specificity, compliance, actionability, is_gold_standard,
+  list_filter([completeness, clarity, specificity, compliance, actionability], lambda x: x IS NOT NULL) AS given FROM f_evals)
+SELECT s.jd_id, CAST(completeness AS DOUBLE) AS completeness, CAST(specificity AS DOUBLE) AS specificity, s.is_gold_standard,
+  round(list_sum(given) / len(given), 2) AS average_score FROM s JOIN f_corpus c ON s.jd_id = c.jd_id""",
+    ("f_evals", "f_corpus"),
+)
+def q_k04_json(spark, sf):
+    """Completed evaluations written as {jd_data, evaluation} and imported again."""
+    sample = fx(spark, sf, "f_corpus").join(fx(spark, sf, "f_evals"), "jd_id")
+    path = _out(spark, "evaluations") + ".json"
+    records = quality.evaluation_records(sample, ["jd_text", "org_unit", "level", "title", "posting_date"])
+    write_table(records, path, fmt="json", ignoreNullFields="false")
+    back = quality.import_json_evaluations(read_evaluations(spark, path, quality.EVALUATION_SCHEMA, lines=True), order_col="_file_order")
+    return back.select("jd_id", F.col("completeness").cast("double"), F.col("specificity").cast("double"), "is_gold_standard", "average_score")

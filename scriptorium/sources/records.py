@@ -111,13 +111,17 @@ def evaluation_format(path: str) -> str:
     raise ValueError(f"Unsupported file format: {path}")
 
 
-def read_evaluations(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation sheet as strings, with file order for 'last row wins'."""
-    fmt = evaluation_format(path)
-    if fmt == "csv":
+def read_evaluations(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """Evaluations with file order for 'last row wins': a sheet as strings, or JSON records.
+
+    JSON files hold one array each, or one record a line (``lines``); ``schema``
+    gives the records' types (``quality.EVALUATION_SCHEMA``).
+    """
+    if evaluation_format(path) == "csv":
         df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     else:
-        df = spark.read.option("multiLine", True).json(path)
+        reader = spark.read.option("multiLine", not lines)
+        df = (reader.schema(schema) if schema else reader).json(path)
     return df.withColumn("_file_order", F.monotonically_increasing_id())
 
 
