@@ -9,7 +9,7 @@ the exact silhouette comes from distance blocks, the squared form of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from scriptorium.functions.arrays import let
 from scriptorium.operators.density import silhouettes
@@ -48,6 +49,31 @@ def embed_text(df: DataFrame, text_col: str = "jd_text", id_field: str = "jd_id"
     return norm.select(id_field, vector_to_array("_v", "float32").alias("features"))
 
 
+def embed_with(df: DataFrame, make_embedder: Callable[[], Callable[[np.ndarray], np.ndarray]], dims: int, text_col: str = "jd_text", id_field: str = "jd_id", batch_size: int = 100) -> DataFrame:
+    """(id, features) by a model of the caller's.
+
+    ``make_embedder`` runs once in each Python worker and gives a function from
+    an array of texts to a matrix of ``dims`` columns; it sees at most
+    ``batch_size`` texts at a time and never a null or blank one, whose vector
+    is zero.  The model is loaded by the task, so only its factory is shipped.
+    """
+
+    def loaded() -> Callable[[np.ndarray], np.ndarray]:
+        embed = make_embedder()
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(texts), dims), np.float32)
+            some = np.array([bool(t.strip()) for t in texts], bool)
+            if some.any():
+                out[some] = embed(texts[some])
+            return out
+
+        return predict
+
+    embedder = predict_batch_udf(loaded, return_type=ArrayType(FloatType()), batch_size=batch_size)
+    return df.select(id_field, embedder(F.coalesce(F.col(text_col), F.lit(""))).alias("features"))
+
+
 def l2_normalize(vec: Column) -> Column:
     """Unit L2 norm; a zero vector is left as is."""
     # the norm is bound once: inside the element lambda it would be recomputed per element

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from scriptorium.functions.numeric import rnd
@@ -89,6 +91,22 @@ def q_m01(spark, sf):
     return e.select("jd_id", F.size("features").alias("dims"), rnd(F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
 
 
+def counting_embedder():
+    """A model that needs no files: characters and blanks of a text."""
+    return lambda texts: np.array([[len(t), t.count(" ")] for t in texts], np.float32)
+
+
+@query(
+    "x02_embedder_hook",
+    """SELECT jd_id, CASE WHEN t THEN 0 ELSE length(jd_text) END::DOUBLE AS n_chars, CASE WHEN t THEN 0 ELSE length(jd_text) - length(replace(jd_text, ' ', '')) END::DOUBLE AS n_blanks
+FROM (SELECT jd_id, jd_text, NOT regexp_matches(coalesce(jd_text, ''), '[^\\s]') AS t FROM f_corpus)""",
+    ("f_corpus",),
+)
+def q_x02(spark, sf):
+    e = C.embed_with(fx(spark, sf, "f_corpus"), counting_embedder, 2)
+    return e.select("jd_id", F.col("features")[0].cast("double").alias("n_chars"), F.col("features")[1].cast("double").alias("n_blanks"))
+
+
 @query("m09_kmeans")
 def q_m09(spark, sf):
     a, _, _ = C.kmeans(_vec(spark, sf), k=10)
