@@ -54,8 +54,6 @@ def standardize_items(items: DataFrame, item_col: str = "item") -> DataFrame:
     """Mapping (original, standardized): every spelling of a normalised
     form maps to its most frequent spelling (ties: smallest)."""
     c = items.groupBy(item_col).agg(F.count(F.lit(1)).alias("n")).withColumn("_key", normalize_item(item_col))
-    best = c.groupBy("_key").agg(F.max_by(F.col(item_col), F.struct(F.col("n"), -F.hash(item_col))).alias("_best"))
-    # exact tie-break on the text itself: rank by (n desc, item asc)
     w = Window.partitionBy("_key").orderBy(F.desc("n"), F.asc(item_col))
     best = c.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("_key", F.col(item_col).alias("_best"))
     return c.join(best, "_key").select(F.col(item_col).alias("original"), F.col("_best").alias("standardized"))

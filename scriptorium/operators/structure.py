@@ -103,8 +103,6 @@ STANDARD_SECTIONS = {
     ],
 }
 # Line rules: a line ending in a colon, and a line of capitals (at most 6 words).
-COLON_RULE = r"^([A-Z][^:\n]{2,50}):[ \t]*$"
-CAPS_RULE = r"^([A-Z][A-Z\s]{3,50})$"
 CAPS_MAX_WORDS = 6
 MIN_SECTION_LENGTH = 20
 HEADER_TOLERANCE = 10

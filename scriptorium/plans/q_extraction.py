@@ -365,12 +365,36 @@ def _titles(spark, sf):
     return A.representative_titles(a, fx(spark, sf, "f_meta").drop("cluster"), fx(spark, sf, "f_items"))
 
 
-@query("r07_name_archetypes")
+# Names from the top titles, as CTEs.
+NAMED_SQL = """an AS (SELECT jd_id, cluster FROM f_meta WHERE cluster <> -1 AND jd_id IN (SELECT jd_id FROM f_items)),
+t AS (SELECT an.cluster, f_meta.title, row_number() OVER (PARTITION BY an.cluster ORDER BY count(*) DESC, f_meta.title) AS r FROM an JOIN f_meta ON an.jd_id = f_meta.jd_id GROUP BY 1, 2),
+w AS (SELECT cluster, list(x ORDER BY r, k) AS words FROM (
+  SELECT cluster, r, k, x FROM (SELECT cluster, r, unnest(regexp_split_to_array(trim(title), '\\s+')) AS x, unnest(range(1, len(regexp_split_to_array(trim(title), '\\s+')) + 1)) AS k FROM t WHERE r <= 3))
+  WHERE length(x) > 3 AND regexp_matches(x, '^\\p{Lu}') GROUP BY 1),
+c AS (SELECT DISTINCT cluster FROM an),
+named AS (SELECT c.cluster, coalesce(nullif(array_to_string(w.words[1:3], ' '), ''), 'Cluster ' || CAST(c.cluster AS VARCHAR)) AS archetype_name
+FROM c LEFT JOIN w ON c.cluster = w.cluster)"""
+
+
+@query(
+    "r07_name_archetypes",
+    f"""WITH {NAMED_SQL},
+s AS (SELECT cluster, archetype_name, trim(regexp_replace(lower(archetype_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM named),
+r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY cluster) AS k FROM s)
+SELECT cluster, archetype_name, CASE WHEN k = 1 THEN slug ELSE slug || '-' || CAST(k AS VARCHAR) END AS archetype_id FROM r""",
+    ("f_meta", "f_items"),
+)
 def q_r07(spark, sf):
     return N.name_archetypes(_titles(spark, sf))
 
 
-@query("a48_word_frequency")
+@query(
+    "a48_word_frequency",
+    f"""WITH {NAMED_SQL}
+SELECT word, CAST(count(*) AS BIGINT) AS count FROM (SELECT unnest(regexp_split_to_array(trim(archetype_name), '\\s+')) AS word FROM named)
+WHERE word <> '' GROUP BY word ORDER BY count DESC, word LIMIT 20""",
+    ("f_meta", "f_items"),
+)
 def q_a48(spark, sf):
     return N.word_frequency(N.name_archetypes(_titles(spark, sf)))
 
@@ -387,14 +411,7 @@ def q_r08(spark, sf):
 
 @query(
     "t13_fallback_name",
-    """WITH an AS (SELECT jd_id, cluster FROM f_meta WHERE cluster <> -1 AND jd_id IN (SELECT jd_id FROM f_items)),
-t AS (SELECT an.cluster, f_meta.title, row_number() OVER (PARTITION BY an.cluster ORDER BY count(*) DESC, f_meta.title) AS r FROM an JOIN f_meta ON an.jd_id = f_meta.jd_id GROUP BY 1, 2),
-w AS (SELECT cluster, list(x ORDER BY r, k) AS words FROM (
-  SELECT cluster, r, k, x FROM (SELECT cluster, r, unnest(regexp_split_to_array(trim(title), '\\s+')) AS x, unnest(range(1, len(regexp_split_to_array(trim(title), '\\s+')) + 1)) AS k FROM t WHERE r <= 3))
-  WHERE length(x) > 3 AND regexp_matches(x, '^\\p{Lu}') GROUP BY 1),
-c AS (SELECT DISTINCT cluster FROM an)
-SELECT c.cluster, coalesce(nullif(array_to_string(w.words[1:3], ' '), ''), 'Cluster ' || CAST(c.cluster AS VARCHAR)) AS archetype_name
-FROM c LEFT JOIN w ON c.cluster = w.cluster""",
+    f"WITH {NAMED_SQL} SELECT cluster, archetype_name FROM named",
     MI,
 )
 def q_t13(spark, sf):
