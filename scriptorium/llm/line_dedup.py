@@ -8,7 +8,10 @@ Positional and length filters drop pairs whose places and sizes rule a match
 out; the rest is verified on the full sets.  A line goes if an earlier line (by
 document id, then line number) matches.
 
-Equal lines meet first, so any number of copies is one entry of the join.  A
+Equal lines meet first, so any number of copies is one entry of the join.  The
+question is only whether some earlier line matches, so the join goes in two
+rounds: each line meets one of its lists' first lines, and only lines left open
+meet all the others.  A group of near copies then costs about a pair a line.  A
 token's rarity is its count in the corpus by hash slot (2^16 slots); any order
 that all lines share gives the exact result, and this one keeps the tokens that
 many lines share out of the prefixes.
@@ -28,6 +31,7 @@ WORDS, SLOT_BITS, CLASS_BITS = 5, 16, 9
 SPACE = r"[\x20\x09-\x0D]+"
 # A line of a document: its number above 40 bits of its hash.
 LINE_BITS, MOST_LINES = 40, (1 << 23) - 1
+PLACED, ENDS = ("id", "ref", "place"), ["a_id", "a_ref", "b_id", "b_ref"]
 
 
 def shingles(line: Column) -> Column:
@@ -94,32 +98,56 @@ def line_marks(docs: DataFrame, base: DataFrame, text: Column, percent: int) ->
 
     posts = firsts.select("id", "ref", "n", F.posexplode("prefix").alias("at", "token"))
     posts = posts.select("token", "id", "ref", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
+    # Most tokens are one line's: only lists of two lines or more are kept.
+    lists = posts.groupBy("token").agg(F.count("*").alias("lines")).filter("lines > 1").select("token")
+    posts = staged(posts.join(lists, "token"), "line-posts")
+
+    # One exchange of the sets of all lines in lists serves every round.
+    wanted = posts.select("id", "ref").distinct().groupBy(_key("id").alias("k")).agg(F.collect_set("ref").alias("refs"))
+    asked = base.join(wanted.hint("shuffle_hash"), "k").select("k", "refs", F.posexplode(text_lines(text)).alias("at", "line"))
+    asked = asked.withColumn("ref", line_ref(F.col("at"), F.col("line"))).filter(F.array_contains("refs", F.col("ref")))
+    full = asked.select("k", "ref", F.array_distinct(shingles(F.col("line"))).alias("tokens")).dropDuplicates(["k", "ref"])
+
+    # First round: a line meets one earlier line, of its lists' first lines the one in most of them.
+    heads = posts.groupBy("token").agg(F.min(F.struct(*PLACED)).alias("h")).select("token", *[F.col(f"h.{c}").alias(f"a_{c}") for c in PLACED])
+    shared = _side(posts, "b").join(heads, "token").filter(_reach(percent))
+    shared = shared.groupBy(*ENDS).agg(F.count("*").alias("lists"))
+    best = shared.groupBy("b_id", "b_ref").agg(F.max(F.struct("lists", "a_id", "a_ref")).alias("a"))
+    near = _verified(best.select("a.a_id", "a.a_ref", "b_id", "b_ref"), full, percent)
+    # Second round: the lines still open meet all earlier lines of their lists.
+    still = posts.join(near, [F.col("id").eqNullSafe(F.col("b_id")), F.col("ref") == F.col("b_ref")], "left_anti")
+    pairs = _side(posts, "a").join(_side(still, "b"), "token").filter(_reach(percent)).select(*ENDS).distinct()
+    near = near.union(_verified(pairs, full, percent)).select(F.col("b_id").alias("id"), F.col("b_ref").alias("ref"))
+    marks = firsts.select(_key("id").alias("k"), "ref", F.lit(None).cast("long").alias("near"))
+    marks = marks.union(near.select(_key("id").alias("k"), F.lit(None).cast("long"), "ref"))
+    return marks.groupBy("k").agg(F.collect_set("ref").alias("firsts"), F.collect_set("near").alias("near"))
+
+
+def _side(posts: DataFrame, x: str) -> DataFrame:
+    return posts.select("token", *[F.col(c).alias(f"{x}_{c}") for c in PLACED])
+
+
+def _reach(percent: int) -> Column:
+    """Line a is earlier than b, and sizes and places leave room for a match."""
     n, at = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
-    a, b = posts.select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "ref", "place")]), posts.select("token", *[F.col(c).alias(f"b_{c}") for c in ("id", "ref", "place")])
     n_a, n_b = n("a_place"), n("b_place")
-    pairs = a.join(b, "token").filter(
+    return (
+        # Null ids are one document before all others.
         (F.struct("a_id", "a_ref") < F.struct("b_id", "b_ref"))
         & (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent)
         & (F.least(n_a - at("a_place"), n_b - at("b_place")) >= _needed(n_a, n_b, percent))
     )
-    pairs = staged(pairs.select("a_id", "a_ref", "b_id", "b_ref").distinct(), "line-pairs")
 
-    # The full sets of the lines in pairs, from the documents' one exchange.
-    wanted = pairs.select(F.col("a_id").alias("id"), F.col("a_ref").alias("ref")).union(pairs.select("b_id", "b_ref")).distinct()
-    wanted = wanted.groupBy(_key("id").alias("k")).agg(F.collect_set("ref").alias("refs"))
-    asked = base.join(wanted.hint("shuffle_hash"), "k").select("k", "refs", F.posexplode(text_lines(text)).alias("at", "line"))
-    asked = asked.withColumn("ref", line_ref(F.col("at"), F.col("line"))).filter(F.array_contains("refs", F.col("ref")))
-    # One exchange of the sets, by keys without nulls, serves both joins.
-    full = asked.select("k", "ref", F.array_distinct(shingles(F.col("line"))).alias("tokens")).dropDuplicates(["k", "ref"])
+
+def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """b_id and b_ref of every line b of ``pairs`` whose full set matches a's."""
     left = full.select(F.col("k").alias("a_k"), F.col("ref").alias("a_ref"), F.col("tokens").alias("a_tokens"))
     right = full.select(F.col("k").alias("b_k"), F.col("ref").alias("b_ref"), F.col("tokens").alias("b_tokens"))
+    # Joined by keys without nulls.
     both = pairs.select(_key("a_id").alias("a_k"), "a_ref", "b_id", _key("b_id").alias("b_k"), "b_ref").join(left, ["a_k", "a_ref"])
     both = both.select("a_tokens", "b_id", "b_k", "b_ref").join(right, ["b_k", "b_ref"])
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    near = both.filter(shared >= _needed(F.size("a_tokens"), F.size("b_tokens"), percent)).select(F.col("b_id").alias("id"), F.col("b_ref").alias("ref"))
-    marks = firsts.select(_key("id").alias("k"), "ref", F.lit(None).cast("long").alias("near"))
-    marks = marks.union(near.select(_key("id").alias("k"), F.lit(None).cast("long"), "ref"))
-    return marks.groupBy("k").agg(F.collect_set("ref").alias("firsts"), F.collect_set("near").alias("near"))
+    return both.filter(shared >= _needed(F.size("a_tokens"), F.size("b_tokens"), percent)).select("b_id", "b_ref").distinct()
 
 
 def _key(c: str) -> Column:

@@ -37,3 +37,23 @@ def test_nulls_repeated_ids_and_empty(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in dedup_lines(docs).collect()), key=str)
     assert got == sorted([(None, "x y"), (1, None), (2, ""), (3, "k l m"), (3, "k l m"), (3, "other")], key=str)
     assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_near_copies_whose_first_line_matches_only_some(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+
+    def near(edits):
+        words = list(base)
+        for at in rng.sample(range(60), edits):
+            words[at] = f"e{rng.randint(0, 9999)}"
+        return " ".join(words)
+
+    rows = [(None if i == 3 else i, "\n".join(near(rng.choice([1, 1, 2, 3])) for _ in range(2))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {(r["doc_id"], r["removed_lines"], r["text"]) for r in dedup_lines(docs).collect()}
+    # Null ids are one document before all others.
+    known = {i: n for n, i in enumerate(sorted(i for i, _ in rows if i is not None), 1)} | {None: 0}
+    back = {n: i for i, n in known.items()}
+    assert got == {(back[i], n, t) for i, t, n in reference([(known[i], t) for i, t in rows])}
+    assert 60 < sum(n for _, n, _ in got) < 180
