@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -165,13 +165,13 @@ def encoder_of(ranks_file: bytes, pattern: str) -> Encoder:
     return Encoder(ranks_file, pattern)
 
 
-def slices(texts: list[str | None]) -> Iterator[list[str]]:
-    """Consecutive texts (null: empty) of about SLICE_CHARS together."""
+def slices(texts: Iterable[str | None], most: int = SLICE_CHARS) -> Iterator[list[str]]:
+    """Consecutive texts (null: empty) of about ``most`` characters together."""
     part, chars = [], 0
     for t in texts:
         part.append(t or "")
         chars += len(t or "")
-        if chars >= SLICE_CHARS:
+        if chars >= most:
             yield part
             part, chars = [], 0
     if part:

@@ -28,6 +28,8 @@ from scriptorium.llm.bpe import slices
 from scriptorium.llm.common import shared_path, staged
 
 KEPT_WORDS = 600_000
+# Chunks of so many characters are in memory at one time.
+SLICE_CHARS = 1_000_000
 # New chunks go to the library joined by this mark, which becomes one token of
 # its own; chunks that hold it go alone.
 MARK, JOINED = "|", 256
@@ -131,7 +133,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_
                 table[:, 0], table[:, 1] = keys.fill_null(0).to_numpy(), keys.is_valid().to_numpy(zero_copy_only=False)
                 docs_out.write(table.tobytes())
                 n_docs += len(keys)
-                for texts in slices(batch.column("text").to_pylist()):
+                for texts in slices((t.as_py() for t in batch.column("text")), SLICE_CHARS):
                     ids = [x + end for x in encoder.encode(texts)]
                     ids_out.write(b"".join(ids))
                     upto = at + np.cumsum([len(x) // id_bytes for x in ids], dtype="<u8")
