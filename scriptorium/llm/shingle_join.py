@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,9 @@ from scriptorium.llm.graph import components
 WORDS, SLOT_BITS, HOT = 5, 22, 64
 # Slot counts travel in chunks of so many slots; a slot becomes a class of a sixteenth of an octave.
 SLOTS, CLASSES = 1 << 13, 16
-KEPT_WORDS, PROFILE = 600_000, 192
+KEPT_WORDS, PROFILE = 200_000, 192
+# A worker holds the sets of so many bytes of text at one time.
+PART_BYTES = 2_000_000
 # Up to this many ids a list of documents is broadcast (16 MB), beyond it is joined by shuffle.
 BROADCAST_IDS = 1_000_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -85,11 +88,21 @@ def _slots(tokens: np.ndarray) -> np.ndarray:
     return (tokens & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut after every PART_BYTES of text."""
+    for batch in batches:
+        size = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = (np.flatnonzero(np.diff(np.cumsum(size) // PART_BYTES)) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(size)], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and signature of every set; at the end the task's token counts by slot, in compressed chunks."""
     counts = np.zeros(1 << SLOT_BITS, np.uint32)
     names = ["id", "row", "n", "signature", "chunk", "counts"]
-    for batch in batches:
+    for batch in _parts(batches):
         sets = [shingler()(t) for t in batch.column("text").to_pylist()]
         for s in sets:
             np.add.at(counts, _slots(s), np.uint32(1))
@@ -165,7 +178,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     texts = docs.join(F.broadcast(asked) if few else asked, docs["id"] == asked["asked"]).select("id", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             sets = [shingler()(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "tokens"])
 
@@ -240,7 +253,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
         single = single.union(texts.join(again, texts["id"] == again["copy"], "left_semi").dropDuplicates(["id"]))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             sets = [shingler()(t) for t in batch.column("text").to_pylist()]
             sizes = [len(s) for s in sets]
             heads = [np.sort(_rarity(classes, s))[: n + (-n * percent // 100) + 1] if n else [] for s, n in zip(sets, sizes, strict=True)]
