@@ -78,11 +78,8 @@ def has_words(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def line_marks(docs: DataFrame, base: DataFrame, text: Column, percent: int) -> DataFrame:
-    """By k (document): refs of the lines that are the first of their equals, and of those near an earlier line.
-
-    ``docs``: id, text; ``base``: rows by k, with ``text`` the text of a row.
-    """
+def line_marks(docs: DataFrame, percent: int) -> DataFrame:
+    """By k (document; ``docs``: id, text): refs of the lines that are the first of their equals, and of those near an earlier line."""
     lines = docs.select("id", F.posexplode(text_lines(F.col("text"))).alias("at", "line")).filter(has_words(F.col("line")))
     lines = lines.select("id", "line", line_ref(F.col("at"), F.col("line")).alias("ref"), F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"))
     classes = slot_classes(lines)
@@ -102,22 +99,22 @@ def line_marks(docs: DataFrame, base: DataFrame, text: Column, percent: int) ->
     lists = posts.groupBy("token").agg(F.count("*").alias("lines")).filter("lines > 1").select("token")
     posts = staged(posts.join(lists, "token"), "line-posts")
 
-    # One exchange of the sets of all lines in lists serves every round.
+    # The full sets of all lines in lists serve both rounds.
     wanted = posts.select("id", "ref").distinct().groupBy(_key("id").alias("k")).agg(F.collect_set("ref").alias("refs"))
-    asked = base.join(wanted.hint("shuffle_hash"), "k").select("k", "refs", F.posexplode(text_lines(text)).alias("at", "line"))
+    asked = docs.select(_key("id").alias("k"), "text").join(wanted, "k").select("k", "refs", F.posexplode(text_lines(F.col("text"))).alias("at", "line"))
     asked = asked.withColumn("ref", line_ref(F.col("at"), F.col("line"))).filter(F.array_contains("refs", F.col("ref")))
-    full = asked.select("k", "ref", F.array_distinct(shingles(F.col("line"))).alias("tokens")).dropDuplicates(["k", "ref"])
+    full = staged(asked.select("k", "ref", F.array_distinct(shingles(F.col("line"))).alias("tokens")).dropDuplicates(["k", "ref"]), "line-sets")
 
     # First round: a line meets one earlier line, of its lists' first lines the one in most of them.
     heads = posts.groupBy("token").agg(F.min(F.struct(*PLACED)).alias("h")).select("token", *[F.col(f"h.{c}").alias(f"a_{c}") for c in PLACED])
     shared = _side(posts, "b").join(heads, "token").filter(_reach(percent))
     shared = shared.groupBy(*ENDS).agg(F.count("*").alias("lists"))
     best = shared.groupBy("b_id", "b_ref").agg(F.max(F.struct("lists", "a_id", "a_ref")).alias("a"))
-    near = _verified(best.select("a.a_id", "a.a_ref", "b_id", "b_ref"), full, percent)
+    near = staged(_verified(best.select("a.a_id", "a.a_ref", "b_id", "b_ref"), full, percent), "line-near")
     # Second round: the lines still open meet all earlier lines of their lists.
     still = posts.join(near, [F.col("id").eqNullSafe(F.col("b_id")), F.col("ref") == F.col("b_ref")], "left_anti")
     pairs = _side(posts, "a").join(_side(still, "b"), "token").filter(_reach(percent)).select(*ENDS).distinct()
-    near = near.union(_verified(pairs, full, percent)).select(F.col("b_id").alias("id"), F.col("b_ref").alias("ref"))
+    near = near.union(staged(_verified(pairs, full, percent), "line-near")).select(F.col("b_id").alias("id"), F.col("b_ref").alias("ref"))
     marks = firsts.select(_key("id").alias("k"), "ref", F.lit(None).cast("long").alias("near"))
     marks = marks.union(near.select(_key("id").alias("k"), F.lit(None).cast("long"), "ref"))
     return marks.groupBy("k").agg(F.collect_set("ref").alias("firsts"), F.collect_set("near").alias("near"))
@@ -164,10 +161,10 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     that repeat an id are one document's, and equal lines at one place of it
     count once.  An empty table gives an empty result.
     """
-    base = docs.select(_key(id_col).alias("k"), F.struct("*").alias("row")).repartition("k")
-    # Read through ``let``, a row stays whole: one exchange of the rows serves the verification and the result.
+    marks = line_marks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), percent)
+    base = docs.select(_key(id_col).alias("k"), F.struct("*").alias("row"))
+    # Read through ``let``, a row stays whole in its exchange.
     text = let(F.col("row"), lambda r: r[text_col])
-    marks = line_marks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), base, text, percent)
     # A document all of whose lines are copies has no marks.
     none = F.array().cast("array<bigint>")
     rows = base.join(marks.hint("shuffle_hash"), "k", "left").select("row", text.alias("text"), F.coalesce("firsts", none).alias("firsts"), F.coalesce("near", none).alias("near"))
