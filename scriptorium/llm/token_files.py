@@ -13,6 +13,7 @@ tasks.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -45,6 +46,8 @@ class WordEncoder:
     """
 
     def __init__(self, tokenizer_json: str, dtype: str):
+        # Spark's tasks share the cores: no thread pool in each of them.  The library reads this at its first batch.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.known = Tokenizer.from_str(tokenizer_json), dtype, {}
