@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.session import ensure_checkpoint_dir
 
+# Spark's setting that removes a query's shuffle files when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -22,11 +24,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The table cuts lineage: a lost executor costs the tasks that read it, not
-    the work behind it, and several later jobs can scan it.
+    the work behind it, and several later jobs can scan it.  The shuffle files
+    behind it are not needed any more and go when it is written.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
