@@ -238,7 +238,7 @@ def kmeans(df: DataFrame, k: int = 10, seed: int = SEED, restarts: int = RESTART
 
 
 def bisecting(df: DataFrame, k: int = 10, seed: int = SEED, features: str = "features", id_field: str = "jd_id") -> DataFrame:
-    """M10 (re-aimed ward): divisive k-means with the same variance objective."""
+    """Divisive k-means with Ward's variance objective, beside the agglomeration of M10 (``ward``)."""
     v = _vectors(df.select(id_field, features), features)
     m = BisectingKMeans(k=k, seed=seed, featuresCol="_fv", predictionCol="cluster").fit(v)
     return m.transform(v).select(id_field, F.col("cluster").cast("int").alias("cluster"))

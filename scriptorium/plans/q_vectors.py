@@ -14,6 +14,7 @@ from scriptorium.operators import clustering as C
 from scriptorium.operators import density as D
 from scriptorium.operators import structure as S
 from scriptorium.operators.neighbours import Cells, core_distances, indexed, nearest
+from scriptorium.operators.ward import ward
 from scriptorium.plans.registry import fx, query
 from scriptorium.session import scratch_path, written
 
@@ -115,6 +116,11 @@ def q_m09(spark, sf):
 
 @query("m10_hierarchical_ward")
 def q_m10(spark, sf):
+    return ward(_vec(spark, sf), k=10)
+
+
+@query("m10_bisecting_kmeans")
+def q_m10_bisecting(spark, sf):
     return C.bisecting(_vec(spark, sf), k=10)
 
 
