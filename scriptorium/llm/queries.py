@@ -121,7 +121,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_context_mixing")
 def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score_texts(docs, id_crc() % 10 == 0, file_block(3000, 1 << 22))
+    return score_texts(docs, id_crc() % 10 == 0, file_block(5000, 1 << 22))
 
 
 @query("op7_syncmers")
