@@ -57,3 +57,18 @@ def test_optimal_k(spark):
     out = {r["k"]: r for r in C.find_optimal_k(spark.createDataFrame(rows, "jd_id string, features array<double>"), [2, 3, 6, 99], restarts=4).collect()}
     assert set(out) == {2, 3, 6} and [k for k in out if out[k]["best"]] == [3]
     assert out[3]["cost"] < out[2]["cost"] and out[3]["silhouette"] > 0.8
+
+
+def test_vectors_by_entries_give_the_clusters_of_whole_ones(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [[f"{g}{i}" for i in range(12)] for g in "abc"]
+    docs = spark.createDataFrame([(str(i), "" if i == 7 else " ".join(rng.choice(words[i % 3], 15))) for i in range(60)], "jd_id string, jd_text string")
+    kept, tables = C.written, []
+    monkeypatch.setattr(C, "written", lambda df, name: tables.append(kept(df, name)) or tables[-1])
+    found = []
+    for sparse in (False, True):
+        a, centres, cost = C.kmeans(C.embed_text(docs, sparse=sparse), k=4, restarts=2, most=10)
+        found.append(({r["jd_id"]: r["cluster"] for r in a.collect()}, [r["center"] for r in centres.orderBy("cluster").collect()], cost))
+    assert found[0][0] == found[1][0] and np.allclose(found[0][1], found[1][1]) and abs(found[0][2] - found[1][2]) < 1e-6
+    # A vector by its entries holds its words, not all 4,096 numbers.
+    assert max(len(r["x"]) for r in tables[1].collect()) <= 12 < max(len(r["x"]) for r in tables[0].collect())
