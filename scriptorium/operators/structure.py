@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.arrays import let, scan
 
 from scriptorium.functions.numeric import rnd
+from scriptorium.session import written
 
 # --- fixed values (must equal the reference for equal results) -------------
 # Section types in order, each with its header patterns (case-insensitive).
@@ -470,10 +471,14 @@ def structure_vectors(parsed: DataFrame, id_field: str = "jd_id", types: list[st
 
 
 def section_filter(sections: DataFrame, section_types: list[str], min_content_length: int = MIN_EMBED_CONTENT) -> DataFrame:
-    """requested types with content >= min length; a type with < 2 rows is dropped."""
-    keep = sections.where(F.col("section_type").isin(section_types) & (F.length("content") >= min_content_length))
-    big = keep.groupBy("section_type").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select("section_type")
-    return keep.join(big, "section_type", "left_semi")
+    """requested types with content >= min length; a type with < 2 rows is dropped.
+
+    The rows are written once, so that texts are parsed once and none is dealt by its
+    type; at most as many counts as requested types reach the driver.
+    """
+    keep = written(sections.where(F.col("section_type").isin(section_types) & (F.length("content") >= min_content_length)), "sections")
+    counts = keep.groupBy("section_type").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").collect()
+    return keep.where(F.col("section_type").isin([r["section_type"] for r in counts]))
 
 
 def section_counts(sections: DataFrame) -> DataFrame:

@@ -38,3 +38,11 @@ def test_every_known_phrase_near_the_start_of_a_line_is_a_header(spark):
     df = spark.createDataFrame([("1", "perks               benefits\nx"), ("2", "some words of a line then benefits\nx")], "jd_id string, jd_text string")
     got = {(r.jd_id, r.start, r.text) for r in S.headers_table(df).collect()}
     assert got == {("1", 0, "perks"), ("1", 20, "benefits")}
+
+
+def test_section_filter_deals_no_text_by_its_type(spark):
+    rows = [("1", "summary", "x" * 60), ("2", "summary", "y" * 60), ("3", "benefits", "z" * 60), ("4", "summary", "short"), ("5", "other", "o" * 60), ("6", "other", "p" * 60), ("7", None, "q" * 60), ("8", "summary", None)]
+    out = S.section_filter(spark.createDataFrame(rows, "jd_id string, section_type string, content string"), ["summary", "benefits"], 50)
+    assert sorted(r["jd_id"] for r in out.collect()) == ["1", "2"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
