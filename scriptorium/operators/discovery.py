@@ -105,16 +105,21 @@ def record_depth(record: Column) -> Column:
     return F.aggregate(marks, start, step, lambda s: s["most"])
 
 
-def path_entries(records: DataFrame, record_col: str = "record", max_depth: int | None = None, array_inspect: int | None = None) -> DataFrame:
+def path_entries(records: DataFrame, record_col: str = "record", max_depth: int | None = None, array_inspect: int | None = None, rid_col: str | None = None) -> DataFrame:
     """(rid, path, parent, key, value, type) for every key of every object.
 
     All levels of a record are built inside one projection: level k+1 is the
     children of level k (each level bound once with ``let``), the levels are
-    concatenated and a single ``inline`` emits the rows.  Nothing is shuffled
-    before the final grouping and no row is copied per level.  The number of
-    levels is that of the deepest record, found by a pass over the records;
-    ``max_depth`` and ``array_inspect`` (elements of an array) state a bound.
+    concatenated and a single ``inline`` emits the rows.  No row is copied per
+    level.  The records are numbered where they lie and then dealt to all cores,
+    as reading levels costs far more than reading a file that few tasks share;
+    records that already carry a number (``rid_col``) stay where they are.
+    The number of levels is that of the deepest record, found by a pass over the
+    records; ``max_depth`` and ``array_inspect`` (elements of an array) state a
+    bound.
     """
+    if rid_col is None:
+        records, rid_col = records.select(F.monotonically_increasing_id().alias("rid"), record_col).repartition("rid"), "rid"
     depth = max_depth or records.agg(F.max(record_depth(F.col(record_col)))).first()[0] or 1
 
     def levels(prev, level):
@@ -125,18 +130,18 @@ def path_entries(records: DataFrame, record_col: str = "record", max_depth: int
 
     root = _entries_of(F.col(record_col), F.lit(None).cast("string"))
     allv = let(root, lambda lv: levels(lv, 0))
-    rows = records.select(F.monotonically_increasing_id().alias("rid"), F.inline(allv))
+    rows = records.select(F.col(rid_col).alias("rid"), F.inline(allv))
     return rows.withColumn("type", json_type(F.col("value")))
 
 
-def schema_summary(records: DataFrame, record_col: str = "record", max_depth: int | None = None, array_inspect: int | None = None) -> DataFrame:
+def schema_summary(records: DataFrame, record_col: str = "record", max_depth: int | None = None, array_inspect: int | None = None, rid_col: str | None = None) -> DataFrame:
     """Per path count, null_count, null_rate (3 dp), sorted type set,
     string and array length statistics (kept apart), nested keys, first seen.
 
     Entries are first grouped by (path, parent, key), a table as small as the
     schema; from it each row serves its path (statistics) and its parent (keys).
     """
-    e = path_entries(records, record_col, max_depth, array_inspect)
+    e = path_entries(records, record_col, max_depth, array_inspect, rid_col)
     t = F.col("type")
     e = e.withColumn("slen", F.when(t == "string", F.length(F.try_variant_get("value", "$", "string"))))
     e = e.withColumn("alen", F.when(t == "array", F.size(F.try_variant_get("value", "$", "array<variant>"))))

@@ -158,7 +158,7 @@ FROM e GROUP BY path)"""
 
 
 def _summary(spark, sf):
-    return D.schema_summary(_records(spark, sf))
+    return D.schema_summary(R.explode_records(R.dealt(_raw(spark, sf).select("value"))), rid_col="rid")
 
 
 _SCOLS = ["path", "count", "null_count", "null_rate", "types", "str_min_len", "str_max_len", "str_avg_len", "arr_min_len", "arr_max_len", "arr_avg_len", "nested_keys"]
