@@ -85,3 +85,19 @@ def test_strata_requests_above_a_thousand_rows(spark):
     want = spark.createDataFrame([("o", "l", 2500), ("none", "l", 5)], "org_unit string, level string, count bigint")
     assert sampling.sample_by_strata(rows, want).count() == 2500
     assert sampling.sample_by_strata(rows, want.limit(0)).count() == 0
+
+
+def test_items_are_not_compared_after_the_terms_are(spark):
+    from scriptorium.operators import requirements as Q
+
+    # An id with two texts, a repeated word, a null id, an item of two terms and a term of two items.
+    texts = spark.createDataFrame([("1", "sql and SQL"), ("1", "sql too"), (None, "sql"), (None, "sql"), ("2", "spark and pyspark")], "jd_id string, text string")
+    plain = [("sql", "SQL", "technical"), ("sql", "SQL", "tools"), ("SQL", None, "tools"), ("spark", "Spark", "tools")]
+    for terms in (plain, [*plain, ("pyspark", "Spark", "tools")]):
+        for chars in (1 << 20, 0):
+            found = Q.extract_requirements(texts, spark.createDataFrame(terms, "term string, canonical string, category string"), broadcast_chars=chars)
+            want = {(i, c, "required", x) for i in ("1", None) for c, x in (("technical", "SQL"), ("tools", "SQL"), ("tools", None))} | {("2", "tools", "required", "Spark")}
+            assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            # With one term for every item nothing is grouped by the items.
+            assert any("Aggregate" in line and "item" in line and "kind" in line for line in plan.splitlines()) == (len(terms) > 4)
