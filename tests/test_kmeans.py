@@ -72,3 +72,13 @@ def test_vectors_by_entries_give_the_clusters_of_whole_ones(spark, monkeypatch):
     assert found[0][0] == found[1][0] and np.allclose(found[0][1], found[1][1]) and abs(found[0][2] - found[1][2]) < 1e-6
     # A vector by its entries holds its words, not all 4,096 numbers.
     assert max(len(r["x"]) for r in tables[1].collect()) <= 12 < max(len(r["x"]) for r in tables[0].collect())
+
+
+def test_a_pass_brings_one_row_for_each_run(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    points = spark.createDataFrame([(str(i), [float(i % 7), float(i % 3)]) for i in range(60)], "id string, x array<double>").repartition(4)
+    kept, sizes = DataFrame.toArrow, []
+    monkeypatch.setattr(DataFrame, "toArrow", lambda df: sizes.append(df.columns + [(t := kept(df)).num_rows]) or t)
+    C.lloyd(points, [(3, 0), (5, 0), (5, 1)], most=0)
+    assert [s[-1] for s in sizes if s[0] == "run"] == [4]
