@@ -1,13 +1,15 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-A token (a lower-cased word, or the end of the text) is coded in two parts.
-First its leaf, six bits from hashes of its first and last letters: every bit is
-predicted by several contexts (none, the leaf before, the two leaves before, the
-hashed word before, and what the text itself has shown lately), whose
-predictions are mixed in the logistic domain.  Each bit depth has its own set of
-weights; they start from the mean of what all training texts end with and are
-refined after every bit through the whole text.  Then the token within its leaf: a
-known token by its corpus count, an unknown one by the share of tokens seen
+A token (a lower-cased word, or the end of the text) is a code of 18 bits, three
+symbols of six: its leaf, from hashes of its first and last letters, and the two
+halves of the hash of the whole word.  Every bit of all three is predicted by
+several contexts (none, the leaf before, the two leaves before, the hashed word
+before, each together with the symbols of the token that are known already, and
+what the text itself has shown lately), whose predictions are mixed in the
+logistic domain.  Each bit depth of each symbol has its own set of weights; they
+start from the mean of what all training texts end with and are refined after
+every bit through the whole text.  Words that share all 18 bits are told apart
+by their shares of the corpus count, an unknown one by the share of tokens seen
 once.  Unknown tokens are one event, as in the unigram base score.
 
 Corpus counts cover every training document: they come by blocks of documents,
@@ -35,7 +37,13 @@ LEAVES = 1 << BITS
 # Slots of the contexts: none, leaf before, two leaves before, hashed word before.
 TABLES = (1, LEAVES, LEAVES * LEAVES, 1 << HASH_BITS)
 STARTS = np.cumsum([0, *(t * LEAVES for t in TABLES)])
+# The symbols of a token after its leaf: their contexts are hashed together with the symbols before.
+SYMBOLS = 3
+HASHED = (1 << HASH_BITS,) * len(TABLES)
+HASHED_STARTS = np.cumsum([0, *(t * LEAVES for t in HASHED)])
+SIZES = [STARTS[-1], *[HASHED_STARTS[-1]] * (SYMBOLS - 1)]
 CHUNK = 1 << 13
+KINDS = 1 << BITS + HASH_BITS
 INPUTS = len(TABLES) + 1
 # The nodes of every leaf's path, and its bits as -1 and 1.
 PATH = np.arange(LEAVES)[:, None]
@@ -43,7 +51,7 @@ NODES = 1 << np.arange(BITS) | PATH >> BITS - np.arange(BITS)
 SIGNS = (2 * (PATH >> BITS - 1 - np.arange(BITS) & 1) - 1).astype(np.float32)
 FIRST_WEIGHT, RATE, RECENT = 0.3, 0.02, 0.06
 # Bytes of text whose words are lists at one time, and of a run of lanes; words whose codes a task keeps.
-LIST_BYTES, RUN_BYTES, KNOWN = 1_000_000, 32_000_000, 400_000
+LIST_BYTES, RUN_BYTES, KNOWN = 1_000_000, 16_000_000, 400_000
 BLOCK_CHARS = 12_000_000
 # Tokens whose contexts are looked up, and counted, at one time.
 SPAN = 4096
@@ -62,25 +70,49 @@ def word_code(word: bytes) -> int:
     return leaf << HASH_BITS | zlib.crc32(word) >> 7 & (1 << HASH_BITS) - 1
 
 
-def contexts(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Leaves, and for each context table the context of every token; ``first``: starts of texts."""
-    leaf = codes >> HASH_BITS
+def _mixed(prefix: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """A context of HASH_BITS bits of what precedes a symbol inside its token and before it."""
+    return (prefix * 0x9E3779B1 + context * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - HASH_BITS
+
+
+def slots_of(symbol: int, code: np.ndarray, previous: np.ndarray, earlier: np.ndarray) -> list[np.ndarray]:
+    """Contexts of a symbol by table: ``previous`` codes, and the leaves before those."""
+    last, word = previous >> HASH_BITS, previous & (1 << HASH_BITS) - 1
+    if symbol == 0:
+        return [np.zeros_like(last), last, earlier << BITS | last, word]
+    prefix = code >> HASH_BITS + BITS - symbol * BITS
+    return [prefix & (1 << HASH_BITS) - 1, _mixed(prefix, 1 + last), _mixed(prefix, 1 + LEAVES + (earlier << BITS | last)), _mixed(prefix, 1 + LEAVES + LEAVES * LEAVES + previous)]
+
+
+def symbol_of(codes: np.ndarray, symbol: int) -> np.ndarray:
+    return codes >> HASH_BITS - symbol * BITS & LEAVES - 1
+
+
+def contexts(codes: np.ndarray, first: np.ndarray, symbol: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A symbol of every token (0: leaf), and its context for each context table; ``first``: starts of texts."""
+    codes = codes.astype(np.int64)
     before = np.append(0, codes[:-1])
     before[first] = 0
     two = np.append(0, before[:-1])
     two[first] = 0
-    return leaf, [np.zeros(len(codes), np.int64), before >> HASH_BITS, (two >> HASH_BITS) << BITS | before >> HASH_BITS, before & (1 << HASH_BITS) - 1]
+    return symbol_of(codes, symbol), slots_of(symbol, codes, before, two >> HASH_BITS)
 
 
 def count_contexts(codes: np.ndarray, first: np.ndarray, into: np.ndarray) -> None:
-    leaf, ctx = contexts(codes, first)
-    node = np.ones(len(leaf), np.int64)
-    for d in range(BITS):
-        bit = leaf >> (BITS - 1 - d) & 1
-        for t, c in enumerate(ctx):
-            size = TABLES[t] * LEAVES
-            into[2 * STARTS[t] : 2 * (STARTS[t] + size)] += np.bincount((c * LEAVES + node) * 2 + bit, minlength=2 * size).astype(into.dtype)
-        node = node * 2 + bit
+    """Add the bits of all symbols; ``into`` holds the tables of the symbols one after the other."""
+    begin = 0
+    for symbol, all_slots in enumerate(SIZES):
+        table = into[2 * begin : 2 * (begin + all_slots)]
+        value, ctx = contexts(codes, first, symbol)
+        node = np.ones(len(value), np.int64)
+        starts, tables = (HASHED_STARTS, HASHED) if symbol else (STARTS, TABLES)
+        for d in range(BITS):
+            bit = value >> (BITS - 1 - d) & 1
+            for t, c in enumerate(ctx):
+                size = tables[t] * LEAVES
+                table[2 * starts[t] : 2 * (starts[t] + size)] += np.bincount((c * LEAVES + node) * 2 + bit, minlength=2 * size).astype(into.dtype)
+            node = node * 2 + bit
+        begin += all_slots
 
 
 def stretched(counts: np.ndarray) -> np.ndarray:
@@ -89,11 +121,11 @@ def stretched(counts: np.ndarray) -> np.ndarray:
     return np.log(c[:, 1] / c[:, 0]).astype(np.float32)
 
 
-def mix_bits(codes: np.ndarray, first: np.ndarray, table: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural logarithms of the leaves' probabilities, summed by text; the texts' mean final weights by tokens.
+def mix_bits(codes: np.ndarray, first: np.ndarray, table: np.ndarray, weights: np.ndarray, symbol: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Natural logarithms of the probabilities of a symbol (0: leaf), summed by text; the texts' mean final weights by tokens.
 
     Texts are lanes side by side, each with its own weights and recent state to its end.
-    The six bits of a token share neither weights nor recent state, so they are one step.
+    The six bits of a symbol share neither weights nor recent state, so they are one step.
     """
     n = len(codes)
     size = np.diff(np.append(first, n))
@@ -105,6 +137,7 @@ def mix_bits(codes: np.ndarray, first: np.ndarray, table: np.ndarray, weights: n
     total = np.zeros(lanes)
     inputs = np.empty((INPUTS, lanes, BITS), np.float32)
     row = np.arange(lanes)[:, None] * LEAVES
+    starts = np.array((HASHED_STARTS if symbol else STARTS)[:-1])[:, None]
     before = two = np.zeros(lanes, np.int64)
     rate, pace = np.float32(RATE), np.float32(4 * RECENT)
     ends = np.searchsorted(-size, -np.arange(int(size[0]) if lanes else 0), "left")
@@ -119,8 +152,9 @@ def mix_bits(codes: np.ndarray, first: np.ndarray, table: np.ndarray, weights: n
             previous = np.concatenate([before[None, :m], code[:-1]])
             last = previous >> HASH_BITS
             earlier = np.concatenate([two[None, :m], last[:-1]])
-            slot = np.stack([np.zeros_like(last), last * LEAVES + STARTS[1], (earlier << BITS | last) * LEAVES + STARTS[2], (previous & (1 << HASH_BITS) - 1) * LEAVES + STARTS[3]], 1)
-            node, signs = NODES[code >> HASH_BITS], SIGNS[code >> HASH_BITS]
+            slot = np.stack(slots_of(symbol, code, previous, earlier), 1) * LEAVES + starts
+            value = symbol_of(code, symbol)
+            node, signs = NODES[value], SIGNS[value]
             seen = table.take(slot[..., None] + node[:, None])
             slots, against = row[:m] + node, np.empty(node.shape, np.float32)
             ones, pull = (signs + 1) / 2, rate * signs
@@ -141,6 +175,12 @@ def mix_bits(codes: np.ndarray, first: np.ndarray, table: np.ndarray, weights: n
     return by_text, np.einsum("i,kij->jk", size / n, w.astype(np.float64)) if n else weights
 
 
+def by_symbol(logits: np.ndarray) -> list[np.ndarray]:
+    """The tables of the symbols (the leaves', or all)."""
+    ends = np.cumsum(SIZES).tolist()
+    return [logits[end - size : end] for size, end in zip(SIZES, ends, strict=True) if end <= len(logits)]
+
+
 def _runs(texts: pa.Array, chars: int) -> Iterator[pa.Array]:
     """Neighbouring texts of at most ``chars`` bytes together, or one longer text."""
     sizes = np.array([0 if n is None else n for n in pc.binary_length(texts).to_pylist()], np.int64)
@@ -171,8 +211,12 @@ def _codes(texts: list[list[bytes]], known: Codes) -> tuple[np.ndarray, np.ndarr
 
 
 def start_weights(texts: DataFrame, logits: np.ndarray) -> np.ndarray:
-    """The mean by tokens of the weights that all ``texts`` (text) end with; every task adds up its own."""
-    names = ["tokens", *[f"w{i}" for i in range(BITS * INPUTS)]]
+    """The mean by tokens of the weights that all ``texts`` (text) end with; every task adds up its own.
+
+    ``logits``: the tables of the leaves alone, or of all symbols one after the other; the weights come likewise (BITS rows a symbol).
+    """
+    tables = by_symbol(logits)
+    names = ["tokens", *[f"w{i}" for i in range(len(tables) * BITS * INPUTS)]]
     first_weights = np.full((BITS, INPUTS), FIRST_WEIGHT)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,19 +226,20 @@ def start_weights(texts: DataFrame, logits: np.ndarray) -> np.ndarray:
                 parts = [_codes([words_of(t) for t in some.to_pylist()], known) for some in _runs(run, LIST_BYTES)]
                 before = np.cumsum([0, *[len(codes) for codes, _ in parts]])
                 codes = np.concatenate([codes for codes, _ in parts])
-                _, final = mix_bits(codes, np.concatenate([first + b for (_, first), b in zip(parts, before[:-1], strict=True)]), logits, first_weights)
-                sums += len(codes) * np.append(1.0, final.ravel())
+                first = np.concatenate([first + b for (_, first), b in zip(parts, before[:-1], strict=True)])
+                final = [mix_bits(codes, first, table, first_weights, symbol)[1].ravel() for symbol, table in enumerate(tables)]
+                sums += len(codes) * np.concatenate([[1.0], *final])
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names)
 
     trained = texts.select("text").mapInArrow(train, ", ".join(f"{c} double" for c in names))
     r = trained.agg(*[F.sum(c).alias(c) for c in names]).first()
-    return np.array(r[1:]).reshape(BITS, INPUTS) / r[0] if r[0] else first_weights
+    return np.array(r[1:]).reshape(-1, INPUTS) / r[0] if r[0] else np.tile(first_weights, (len(tables), 1))
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A block's words with their training counts; at the end the task's context counts."""
     names = ["block", "token", "n", "chunk", "counts"]
-    table = np.zeros(2 * STARTS[-1], np.int64)
+    table = np.zeros(2 * sum(SIZES), np.int64)
     open_block, counted, known = None, Counter(), Codes()
     waiting, tokens = [], 0
 
@@ -236,11 +281,11 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
     chunks = [i for i in range(0, len(table), CHUNK) if table[i : i + CHUNK].any()]
     rows = len(chunks)
-    yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.int64()), pa.array([i // CHUNK for i in chunks], pa.int32()), pa.array([table[i : i + CHUNK].tobytes() for i in chunks], pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.int64()), pa.array([i // CHUNK for i in chunks], pa.int32()), pa.array([zlib.compress(table[i : i + CHUNK].tobytes(), 1) for i in chunks], pa.binary())], names)
 
 
 def _summed(group: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist()], axis=0)
+    total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in group.column("counts").to_pylist())
     return pa.table({"chunk": group.column("chunk")[:1], "counts": pa.array([total.astype(np.int64).tobytes()], pa.binary())})
 
 
@@ -269,26 +314,27 @@ def score_texts(docs: DataFrame, held_out: Column, block: Column | None = None,
     counted = learned.filter("token IS NOT NULL").select("block", "token", F.sum("n").over(every).alias("c"), F.row_number().over(every.orderBy("block")).alias("nth"))
     counted = staged(counted, "lm-counted")
 
-    table = np.zeros(2 * STARTS[-1], np.int64)
+    table = np.zeros(2 * sum(SIZES), np.int64)
     parts = learned.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(_summed, "chunk int, counts binary")
-    for r in parts.collect():  # the tables' fixed size: about 8 MB
+    for r in parts.collect():  # the tables' fixed size: about 42 MB
         table[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(r["counts"]) // 8] = np.frombuffer(r["counts"], np.int64)
     logits = stretched(table)
 
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((LEAVES, 4))
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, KINDS))
         for batch in batches:
             c = batch.column("c").to_numpy().astype(float)
-            at = np.fromiter((word_code(w) >> HASH_BITS for w in batch.column("token").to_pylist()), np.int64, len(c))
+            at = np.fromiter(map(word_code, batch.column("token").to_pylist()), np.int64, len(c))
             for i, x in enumerate((c, c + 0.1, c == 1, np.ones(len(c)))):
-                sums[:, i] += np.bincount(at, weights=x, minlength=LEAVES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEAVES)), *[pa.array(sums[:, i]) for i in range(4)]], ["leaf", "tokens", "mass", "once", "kinds"])
+                sums[i] += np.bincount(at, weights=x, minlength=KINDS)
+        some = np.flatnonzero(sums[3])
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(x[some]) for x in sums]], ["code", "tokens", "mass", "once", "kinds"])
 
     vocabulary = counted.filter("nth = 1 AND c > 0").select("token", "c")
-    by_leaf = vocabulary.mapInArrow(leaves, "leaf long, tokens double, mass double, once double, kinds double")
-    stats = np.zeros((LEAVES, 4))
-    for r in by_leaf.groupBy("leaf").agg(*[F.sum(c).alias(c) for c in ("tokens", "mass", "once", "kinds")]).collect():
-        stats[r["leaf"]] = r["tokens"], r["mass"], r["once"], r["kinds"]
+    by_code = vocabulary.mapInArrow(classes, "code long, tokens double, mass double, once double, kinds double")
+    found = by_code.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("tokens", "mass", "once", "kinds")]).toArrow()  # at most KINDS rows: about 10 MB
+    stats = np.zeros((KINDS, 4))
+    stats[found.column("code").to_numpy()] = np.stack([found.column(c).to_numpy() for c in ("tokens", "mass", "once", "kinds")], 1)
     n_train, n_kinds = int(stats[:, 0].sum()), int(stats[:, 3].sum())
     unseen = np.clip((stats[:, 2] + 0.5) / (stats[:, 0] + 1), 1e-6, 0.9)
     log_mass, log_seen, log_unseen = np.log10(np.maximum(stats[:, 1], 0.1)), np.log10(1 - unseen), np.log10(unseen)
@@ -296,14 +342,14 @@ def score_texts(docs: DataFrame, held_out: Column, block: Column | None = None,
 
     train = docs.select(F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text_col).alias("text")).filter("NOT held_out")
     start = start_weights(train, logits)
+    symbols = list(zip(by_symbol(logits), start.reshape(SYMBOLS, BITS, INPUTS), strict=True))
 
     def score(texts: pa.Table, words: pa.Table) -> pa.Table:
         tokens, c = words.column("token").to_pylist(), words.column("c").to_numpy().astype(float)
         index = {w: i for i, w in enumerate(tokens)}
         codes = np.fromiter(map(word_code, tokens), np.int32, len(tokens))
-        at_leaf = codes >> HASH_BITS
         base = np.log10(c + 0.1) - log_all
-        inside = np.where(c > 0, log_seen[at_leaf] + np.log10(c + 0.1) - log_mass[at_leaf], log_unseen[at_leaf])
+        inside = np.where(c > 0, log_seen[codes] + np.log10(c + 0.1) - log_mass[codes], log_unseen[codes])
         column = texts.column("text").combine_chunks()
         sizes, ids = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
         for some in _runs(column, LIST_BYTES):
@@ -314,7 +360,7 @@ def score_texts(docs: DataFrame, held_out: Column, block: Column | None = None,
         first = np.cumsum(sizes) - sizes
         joined = {"n": sizes, "known": sizes, "base": np.empty(0), "score": np.empty(0)}
         if len(first):
-            bits, _ = mix_bits(codes[ids], first, logits, start)
+            bits = sum(mix_bits(codes[ids], first, t, w, symbol)[0] for symbol, (t, w) in enumerate(symbols))
             joined["known"] = np.add.reduceat((c[ids] > 0).astype(np.int64), first)
             joined["base"] = np.add.reduceat(base[ids], first)
             joined["score"] = bits / np.log(10) + np.add.reduceat(inside[ids], first)

@@ -102,3 +102,44 @@ def test_start_weights_come_from_all_training_texts(spark):
         codes, first = M._codes([words_of(t)], M.Codes())
         sums, n = sums + len(codes) * mix_bits(codes, first, table, np.full((BITS, INPUTS), 0.3))[1], n + len(codes)
     assert np.allclose(M.start_weights(docs, table), sums / n, atol=1e-9)
+
+
+def test_every_bit_of_a_word_is_mixed():
+    from scriptorium.llm import context_mixing as M
+
+    # Which word of a leaf comes is told by the word before it, not by its share.
+    words = [f"th{i}ing".encode() for i in range(400)]
+    leaf = M.word_code(words[0]) >> M.HASH_BITS
+    a, b, x, y = [w for w in words if M.word_code(w) >> M.HASH_BITS == leaf][:4]
+    texts = [[p, q, b""] for p, q in ((a, x), (b, y)) for _ in range(200)]
+    table = np.zeros(2 * sum(M.SIZES), np.int64)
+    codes, first = M._codes(texts, M.Codes())
+    M.count_contexts(codes, first, table)
+    tables = M.by_symbol(M.stretched(table))
+
+    def score(text):
+        codes, first = M._codes([[*text, b""]], M.Codes())
+        return sum(M.mix_bits(codes, first, t, np.full((BITS, INPUTS), 0.3), s)[0][0] for s, t in enumerate(tables))
+
+    assert score([a, x]) > score([a, y]) + 1 and score([b, y]) > score([b, x]) + 1
+    # The values of each later symbol have probabilities that sum to one.
+    for s in (1, 2):
+        rng, shift = np.random.default_rng(s), M.HASH_BITS - s * M.BITS
+        logits, prefix, weights = rng.normal(0, 1, M.SIZES[s]).astype(np.float32), rng.integers(0, M.KINDS, 4), rng.uniform(0, 0.5, (BITS, INPUTS))
+        alone = mix_bits(prefix, np.array([0]), logits, weights, s)[0][0]
+        last = int(M.word_code(a)) >> shift + BITS << shift + BITS
+        assert abs(sum(np.exp(mix_bits(np.append(prefix, last | v << shift), np.array([0]), logits, weights, s)[0][0] - alone) for v in range(LEAVES)) - 1) < 1e-4
+
+
+def test_words_of_one_leaf_are_scored_by_their_neighbours(spark):
+    a, b, x, y = [w.decode() for w in [f"th{i}ing".encode() for i in range(400)] if _leaf(w) == _leaf(b"th0ing")][:4]
+    rows = [(i, f"{a} {x}" if i % 2 else f"{b} {y}") for i in range(400)] + [(1000, f"{a} {x}"), (1001, f"{a} {y}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in score_texts(docs, F.col("doc_id") >= 1000).where("held_out").collect()}
+    assert got[1000] > got[1001] + 0.5
+
+
+def _leaf(word):
+    from scriptorium.llm.context_mixing import HASH_BITS, word_code
+
+    return word_code(word) >> HASH_BITS
