@@ -20,7 +20,6 @@ word.  The context tables have a fixed size.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -45,17 +44,17 @@ SIZES = [STARTS[-1], *[HASHED_STARTS[-1]] * (SYMBOLS - 1)]
 CHUNK = 1 << 13
 KINDS = 1 << BITS + HASH_BITS
 INPUTS = len(TABLES) + 1
-# The nodes of every leaf's path, and its bits as -1 and 1.
-PATH = np.arange(LEAVES)[:, None]
-NODES = 1 << np.arange(BITS) | PATH >> BITS - np.arange(BITS)
-SIGNS = (2 * (PATH >> BITS - 1 - np.arange(BITS) & 1) - 1).astype(np.float32)
+# A leaf with a one before it, shifted by these, gives the nodes of its path.
+SHIFTS = BITS - np.arange(BITS)[:, None]
 FIRST_WEIGHT, RATE, RECENT = 0.3, 0.02, 0.06
-# Bytes of text whose words are lists at one time, and of a run of lanes; words whose codes a task keeps.
-LIST_BYTES, RUN_BYTES, KNOWN = 1_000_000, 16_000_000, 400_000
+# Bytes of text whose words are told apart at one time.
+RUN_BYTES = 32_000_000
 BLOCK_CHARS = 12_000_000
-# Tokens whose contexts are looked up, and counted, at one time.
-SPAN = 4096
+# Texts mixed side by side, tokens whose contexts are looked up at one time (both within a core's cache) and counted at one time.
+LANES, SPAN = 1024, 4096
 COUNT_TOKENS = 500_000
+# Hashes of a word's first and last letters, by length (one or two) and letters.
+ENDINGS = np.array([zlib.crc32(bytes([a])) for a in range(256)] + [zlib.crc32(bytes([a, b])) for a in range(256) for b in range(256)], np.int64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -63,6 +62,15 @@ def words_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
 
 
+def token_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``words_of`` of all texts: numbers of the tokens, where each text starts, and the tokens by number."""
+    lower = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    # Split at its last blank, a text has its end as an empty string; an empty text is one already.
+    words = pc.ascii_split_whitespace(pc.if_else(pc.equal(lower, ""), lower, pc.binary_join_element_wise(lower, "", " ")))
+    encoded = words.flatten().dictionary_encode()
+    return encoded.indices.to_numpy(), words.offsets.to_numpy()[:-1].astype(np.int64) - words.offsets[0].as_py(), encoded.dictionary.cast(pa.binary())
+
+
 def word_code(word: bytes) -> int:
     """Leaf (three bits each from the first and last letters) above the hash of the word."""
     head, tail = zlib.crc32(word[:2]) % 7 + 1, zlib.crc32(word[-2:]) >> 3 & 7
@@ -70,9 +78,22 @@ def word_code(word: bytes) -> int:
     return leaf << HASH_BITS | zlib.crc32(word) >> 7 & (1 << HASH_BITS) - 1
 
 
+def word_codes(words: list[bytes]) -> np.ndarray:
+    """``word_code`` of every word."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    letters = np.frombuffer(b"".join(words) + b"  ", np.uint8).astype(np.int64)
+    start = np.cumsum(size) - size
+    last = start + np.maximum(size - 2, 0)
+    head, tail = (ENDINGS[np.where(size > 1, 256 + letters[at] * 256 + letters[at + 1], letters[at])] for at in (start, last))
+    leaf = np.where(size > 0, head % 7 + 1 << 3 | tail >> 3 & 7, 0)
+    whole = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+    return (leaf << HASH_BITS | whole >> 7 & (1 << HASH_BITS) - 1).astype(np.int32)
+
+
 def _mixed(prefix: np.ndarray, context: np.ndarray) -> np.ndarray:
     """A context of HASH_BITS bits of what precedes a symbol inside its token and before it."""
-    return (prefix * 0x9E3779B1 + context * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - HASH_BITS
+    mixed = prefix.astype(np.uint32) * np.uint32(0x9E3779B1) + context.astype(np.uint32) * np.uint32(0x85EBCA6B)
+    return (mixed >> np.uint32(32 - HASH_BITS)).astype(np.int64)
 
 
 def slots_of(symbol: int, code: np.ndarray, previous: np.ndarray, earlier: np.ndarray) -> list[np.ndarray]:
@@ -102,16 +123,16 @@ def count_contexts(codes: np.ndarray, first: np.ndarray, into: np.ndarray) -> No
     """Add the bits of all symbols; ``into`` holds the tables of the symbols one after the other."""
     begin = 0
     for symbol, all_slots in enumerate(SIZES):
-        table = into[2 * begin : 2 * (begin + all_slots)]
         value, ctx = contexts(codes, first, symbol)
-        node = np.ones(len(value), np.int64)
         starts, tables = (HASHED_STARTS, HASHED) if symbol else (STARTS, TABLES)
-        for d in range(BITS):
-            bit = value >> (BITS - 1 - d) & 1
-            for t, c in enumerate(ctx):
-                size = tables[t] * LEAVES
-                table[2 * starts[t] : 2 * (starts[t] + size)] += np.bincount((c * LEAVES + node) * 2 + bit, minlength=2 * size).astype(into.dtype)
-            node = node * 2 + bit
+        for start, size, c in zip(starts, tables, ctx, strict=False):
+            bits = into[2 * (begin + start) : 2 * (begin + start + size * LEAVES)].reshape(size, LEAVES, 2)
+            # Values are counted once; a node's bits are the counts below it.
+            counts = np.bincount(c * LEAVES + value, minlength=size * LEAVES).astype(into.dtype)
+            for d in reversed(range(BITS)):
+                pairs = counts.reshape(size, 1 << d, 2)
+                bits[:, 1 << d : 2 << d] += pairs
+                counts = pairs[..., 0] + pairs[..., 1]
         begin += all_slots
 
 
@@ -122,57 +143,97 @@ def stretched(counts: np.ndarray) -> np.ndarray:
 
 
 def mix_bits(codes: np.ndarray, first: np.ndarray, table: np.ndarray, weights: np.ndarray, symbol: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Natural logarithms of the probabilities of a symbol (0: leaf), summed by text; the texts' mean final weights by tokens.
+    """``mix_symbols`` of one symbol (0: leaf)."""
+    return mix_symbols(codes, first, {symbol: table}, weights)
+
+
+def mix_symbols(codes: np.ndarray, first: np.ndarray, tables: dict[int, np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural logarithms of the probabilities of the symbols in ``tables``, summed by text; the texts' mean final weights by tokens.
 
     Texts are lanes side by side, each with its own weights and recent state to its end.
-    The six bits of a symbol share neither weights nor recent state, so they are one step.
+    The bits of a token share neither weights nor recent state, so they are one step.
     """
     n = len(codes)
     size = np.diff(np.append(first, n))
     order = np.argsort(-size, kind="stable")
-    start, size = first[order], size[order]
-    lanes = len(start)
-    w = np.repeat(weights.T.astype(np.float32)[:, None], lanes, 1)
-    recent = np.zeros(lanes * LEAVES, np.float32)
+    by_text, final, looked = np.empty(len(first)), np.zeros(weights.T.shape), _Steps(tables, min(LANES, len(first)))
+    for begin in range(0, len(order), LANES):
+        some = order[begin : begin + LANES]
+        by_text[some], last = _mix_lanes(codes, first[some], size[some], looked, weights)
+        final += last.astype(np.float64) @ size[some]
+    return by_text, final.T / n if n else weights
+
+
+class _Steps:
+    """What no weight decides of several steps at once, in arrays that are used again."""
+
+    def __init__(self, tables: dict[int, np.ndarray], lanes: int) -> None:
+        self.tables, most = tables, max(SPAN, lanes) * BITS
+        self.floats = np.empty((INPUTS + 1) * len(tables) * most, np.float32)
+        self.longs = np.empty((len(tables) + 2) * most, np.int64)
+
+    def look_up(self, row: np.ndarray, code: np.ndarray, previous: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tables' inputs (input, symbol, step, bit, lane; the last is left free), bits and places of the recent state (step, symbol, bit, lane)."""
+        n, one = len(self.tables), (len(code), BITS, code.shape[1])
+        all_of = (one[0], n, *one[1:])
+        each = one[0] * one[1] * one[2]
+        inputs = self.floats[: INPUTS * n * each].reshape(INPUTS, n, *one)
+        bits = self.floats[INPUTS * n * each : (INPUTS + 1) * n * each].reshape(all_of)
+        places = self.longs[: n * each].reshape(all_of)
+        nodes, slots = self.longs[n * each : (n + 2) * each].reshape(2, *one)
+        for at, (symbol, table) in enumerate(self.tables.items()):
+            path = (symbol_of(code, symbol) | LEAVES).astype(np.int64)[:, None]
+            np.right_shift(path, SHIFTS, nodes)
+            np.add(nodes, row + at * LEAVES, places[:, at])
+            bits[:, at] = path.astype(np.uint8) >> SHIFTS.astype(np.uint8) - 1 & 1
+            for i, (slot, start) in enumerate(zip(slots_of(symbol, code, previous, earlier), HASHED_STARTS if symbol else STARTS, strict=False)):
+                np.add(slot.astype(np.int64)[:, None] * LEAVES + start, nodes, slots)
+                table.take(slots, out=inputs[i, at], mode="clip")  # no slot is outside; without a mode ``out`` is copied
+        return inputs, bits, places
+
+
+def _mix_lanes(codes: np.ndarray, start: np.ndarray, size: np.ndarray, looked: _Steps, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of ``mix_symbols`` for texts of falling ``size``, and the weights (input, bit, text) they end with."""
+    lanes, most, n = len(start), int(size[0]), len(looked.tables)
+    w = np.repeat(weights.T.astype(np.float32)[:, :, None], lanes, 2).reshape(INPUTS, n, BITS, lanes)
+    recent = np.zeros(lanes * n * LEAVES, np.float32)
     total = np.zeros(lanes)
-    inputs = np.empty((INPUTS, lanes, BITS), np.float32)
-    row = np.arange(lanes)[:, None] * LEAVES
-    starts = np.array((HASHED_STARTS if symbol else STARTS)[:-1])[:, None]
-    before = two = np.zeros(lanes, np.int64)
-    rate, pace = np.float32(RATE), np.float32(4 * RECENT)
-    ends = np.searchsorted(-size, -np.arange(int(size[0]) if lanes else 0), "left")
-    changes = [*(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(ends)] if lanes else []
+    row = np.arange(lanes) * n * LEAVES
+    before = two = np.zeros(lanes, codes.dtype)
+    pace = np.float32(4 * RECENT)
     t = 0
-    for change in changes:
-        m = int(ends[t])  # texts that have a token at every step to the change
-        while t < change:
-            # What no weight decides is looked up for several steps at once.
-            steps = min(max(1, SPAN // m), change - t)
-            code = codes[start[:m] + np.arange(t, t + steps)[:, None]].astype(np.int64)
-            previous = np.concatenate([before[None, :m], code[:-1]])
-            last = previous >> HASH_BITS
-            earlier = np.concatenate([two[None, :m], last[:-1]])
-            slot = np.stack(slots_of(symbol, code, previous, earlier), 1) * LEAVES + starts
-            value = symbol_of(code, symbol)
-            node, signs = NODES[value], SIGNS[value]
-            seen = table.take(slot[..., None] + node[:, None])
-            slots, against = row[:m] + node, np.empty(node.shape, np.float32)
-            ones, pull = (signs + 1) / 2, rate * signs
-            s, own_w = inputs[:, :m], w[:, :m]
-            for i in range(steps):
-                own = slots[i]
-                lately = recent.take(own)
-                s[:-1], s[-1] = seen[i], lately
-                logit = np.minimum(np.maximum(np.add.reduce(own_w * s, 0), -20), 20)
-                odds = np.exp(-signs[i] * logit, out=against[i])
-                own_w += pull[i] * (odds / (1 + odds)) * s
-                recent[own] = np.minimum(np.maximum(lately + pace * (ones[i] - 1 / (1 + np.exp(-lately))), -6), 6)
-            total[:m] -= np.log1p(against).sum(axis=(0, 2), dtype=np.float64)
-            before, two = code[-1], last[-1]
-            t += steps
-    by_text = np.empty(lanes)
-    by_text[order] = total
-    return by_text, np.einsum("i,kij->jk", size / n, w.astype(np.float64)) if n else weights
+    while t < most:
+        m = int(np.searchsorted(-size, -t, "left"))
+        steps = min(max(1, SPAN // m), most - t)
+        at = np.arange(t, t + steps)[:, None]
+        code = codes.take(start[:m] + at, mode="clip")
+        previous = np.concatenate([before[None, :m], code[:-1]])
+        last = previous >> HASH_BITS
+        inputs, bits, places = looked.look_up(row[:m], code, previous, np.concatenate([two[None, :m], last[:-1]]))
+        # A text that has ended within these steps moves nothing and counts for nothing.
+        there = at < size[:m]
+        signs = (1 - 2 * bits) * there[:, None, None]
+        against = np.empty(bits.shape, np.float32)
+        own_w, product, logit, new = w[..., :m], np.empty((INPUTS, *bits.shape[1:]), np.float32), *np.empty((2, *bits.shape[1:]), np.float32)
+        for i in range(steps):
+            s, odds = inputs[:, :, i], against[i]
+            lately = recent.take(places[i])
+            s[-1] = lately
+            np.multiply(own_w, s, product)
+            np.add.reduce(product, 0, out=logit)
+            np.minimum(np.maximum(logit, -20, logit), 20, logit)
+            np.exp(np.multiply(logit, signs[i], logit), logit)
+            np.add(logit, 1, odds)
+            np.multiply(np.divide(logit, odds, logit), np.multiply(signs[i], -RATE, new), logit)
+            np.add(own_w, np.multiply(s, logit, product), own_w)
+            # lately + pace * (bit - 1 / (1 + exp(-lately)))
+            np.divide(pace, np.add(np.exp(lately, new), 1, new), new)
+            np.add(np.add(new, np.multiply(np.subtract(bits[i], 1, logit), pace, logit), new), lately, new)
+            recent[places[i]] = np.minimum(np.maximum(new, -6, new), 6, new)
+        total[:m] -= (np.log(against, against).sum((1, 2), dtype=np.float64) * there).sum(0)
+        before, two = code[-1], last[-1]
+        t += steps
+    return total, w.reshape(INPUTS, -1, lanes)
 
 
 def by_symbol(logits: np.ndarray) -> list[np.ndarray]:
@@ -194,8 +255,19 @@ def _runs(texts: pa.Array, chars: int) -> Iterator[pa.Array]:
         yield texts.slice(begin)
 
 
+def _joined(parts: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Neighbouring parts of ``token_ids`` as one; a token that several hold has several numbers."""
+    if not parts:
+        return np.empty(0, np.int32), np.empty(0, np.int64), pa.array([], pa.binary())
+    tokens = np.cumsum([0, *[len(ids) for ids, _, _ in parts]])
+    kinds = np.cumsum([0, *[len(words) for _, _, words in parts]])
+    ids = np.concatenate([ids + np.int32(k) for (ids, _, _), k in zip(parts, kinds, strict=False)])
+    first = np.concatenate([first + n for (_, first, _), n in zip(parts, tokens, strict=False)])
+    return ids, first, pa.concat_arrays([words for _, _, words in parts])
+
+
 class Codes(dict):
-    """Codes of the words that a task has met."""
+    """Codes of the words that were met."""
 
     def __missing__(self, word: bytes) -> int:
         code = self[word] = word_code(word)
@@ -203,8 +275,6 @@ class Codes(dict):
 
 
 def _codes(texts: list[list[bytes]], known: Codes) -> tuple[np.ndarray, np.ndarray]:
-    if len(known) > KNOWN:
-        known.clear()
     sizes = np.array([len(t) for t in texts], np.int64)
     codes = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.int32, int(sizes.sum()))
     return codes, np.cumsum(sizes) - sizes
@@ -215,70 +285,64 @@ def start_weights(texts: DataFrame, logits: np.ndarray) -> np.ndarray:
 
     ``logits``: the tables of the leaves alone, or of all symbols one after the other; the weights come likewise (BITS rows a symbol).
     """
-    tables = by_symbol(logits)
+    tables = dict(enumerate(by_symbol(logits)))
     names = ["tokens", *[f"w{i}" for i in range(len(tables) * BITS * INPUTS)]]
-    first_weights = np.full((BITS, INPUTS), FIRST_WEIGHT)
+    first_weights = np.full((len(tables) * BITS, INPUTS), FIRST_WEIGHT)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, known = np.zeros(len(names)), Codes()
+        sums = np.zeros(len(names))
         for batch in batches:
             for run in _runs(batch.column("text"), RUN_BYTES):
-                parts = [_codes([words_of(t) for t in some.to_pylist()], known) for some in _runs(run, LIST_BYTES)]
-                before = np.cumsum([0, *[len(codes) for codes, _ in parts]])
-                codes = np.concatenate([codes for codes, _ in parts])
-                first = np.concatenate([first + b for (_, first), b in zip(parts, before[:-1], strict=True)])
-                final = [mix_bits(codes, first, table, first_weights, symbol)[1].ravel() for symbol, table in enumerate(tables)]
-                sums += len(codes) * np.concatenate([[1.0], *final])
+                ids, first, words = token_ids(run)
+                sums += len(ids) * np.append(1.0, mix_symbols(word_codes(words.to_pylist())[ids], first, tables, first_weights)[1])
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names)
 
     trained = texts.select("text").mapInArrow(train, ", ".join(f"{c} double" for c in names))
     r = trained.agg(*[F.sum(c).alias(c) for c in names]).first()
-    return np.array(r[1:]).reshape(-1, INPUTS) / r[0] if r[0] else np.tile(first_weights, (len(tables), 1))
+    return np.array(r[1:]).reshape(-1, INPUTS) / r[0] if r[0] else first_weights
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A block's words with their training counts; at the end the task's context counts."""
     names = ["block", "token", "n", "chunk", "counts"]
     table = np.zeros(2 * sum(SIZES), np.int64)
-    open_block, counted, known = None, Counter(), Codes()
-    waiting, tokens = [], 0
-
-    def count():
-        nonlocal waiting, tokens
-        before = np.cumsum([0, *[len(codes) for codes, _ in waiting]])
-        count_contexts(np.concatenate([codes for codes, _ in waiting]), np.concatenate([first + b for (_, first), b in zip(waiting, before[:-1], strict=True)]), table)
-        waiting, tokens = [], 0
-
-    def emit():
-        rows = len(counted)
-        return pa.RecordBatch.from_arrays([pa.array([open_block] * rows, pa.int64()), pa.array(list(counted), pa.binary()), pa.array(list(counted.values()), pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
 
+    def learn(block: int | None, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        ids, first, words = token_ids(rows.column("text").combine_chunks())
+        train = ~rows.column("held_out").to_numpy()
+        size = np.diff(np.append(first, len(ids)))
+        ids = ids[np.repeat(train, size)]
+        codes, size = word_codes(words.to_pylist()), size[train]
+        first, last = np.cumsum(size) - size, np.cumsum(size)
+        begin = 0
+        while begin < len(size):
+            end = max(begin + 1, int(np.searchsorted(last, first[begin] + COUNT_TOKENS, "right")))
+            count_contexts(codes[ids[first[begin] : last[end - 1]]], first[begin:end] - first[begin], table)
+            begin = end
+        n = len(words)
+        return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), words, pa.array(np.bincount(ids, minlength=n), pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+
+    # Neighbouring rows of a block, of RUN_BYTES together or a little more.
+    open_block, parts, held = None, [], 0
     for batch in batches:
         at = 0
-        for some in _runs(batch.column("text"), LIST_BYTES):
-            blocks, held = batch.column("block").slice(at, len(some)).to_pylist(), batch.column("held_out").slice(at, len(some)).to_pylist()
+        for some in _runs(batch.column("text"), RUN_BYTES):
+            blocks = batch.column("block").slice(at, len(some))
+            number, none = pc.fill_null(blocks, 0).to_numpy(), blocks.is_null().to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(number) | np.diff(none)) + 1).tolist(), len(blocks)]
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(at + begin, end - begin)
+                block = part.column("block")[0].as_py()
+                if parts and (block != open_block or held > RUN_BYTES):
+                    yield learn(open_block, parts)
+                    parts, held = [], 0
+                open_block = block
+                parts.append(part)
+                held += some.slice(begin, end - begin).nbytes
             at += len(some)
-            train = []
-            for block, text, out in zip(blocks, some.to_pylist(), held, strict=True):
-                if block != open_block:
-                    if counted:
-                        yield emit()
-                    open_block, counted = block, Counter()
-                words = words_of(text)
-                if out:
-                    counted.update(dict.fromkeys(words, 0))
-                else:
-                    counted.update(words)
-                    train.append(words)
-            if train:
-                waiting.append(_codes(train, known))
-                tokens += len(waiting[-1][0])
-                if tokens > COUNT_TOKENS:
-                    count()
-    if waiting:
-        count()
-    if counted:
-        yield emit()
+    if parts:
+        yield learn(open_block, parts)
     chunks = [i for i in range(0, len(table), CHUNK) if table[i : i + CHUNK].any()]
     rows = len(chunks)
     yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.int64()), pa.array([i // CHUNK for i in chunks], pa.int32()), pa.array([zlib.compress(table[i : i + CHUNK].tobytes(), 1) for i in chunks], pa.binary())], names)
@@ -310,8 +374,9 @@ def score_texts(docs: DataFrame, held_out: Column, block: Column | None = None,
     learned = rows.select("block", "held_out", "text").mapInArrow(_learn, "block long, token binary, n long, chunk int, counts binary")
     learned = staged(learned, "lm-learned")
     # Every block's words with the corpus count; a token has at most a row a block (or two).
-    every = Window.partitionBy("token")
-    counted = learned.filter("token IS NOT NULL").select("block", "token", F.sum("n").over(every).alias("c"), F.row_number().over(every.orderBy("block")).alias("nth"))
+    every = Window.partitionBy("token").orderBy("block")
+    total = F.sum("n").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    counted = learned.filter("token IS NOT NULL").select("block", "token", total.alias("c"), F.row_number().over(every).alias("nth"))
     counted = staged(counted, "lm-counted")
 
     table = np.zeros(2 * sum(SIZES), np.int64)
@@ -324,7 +389,7 @@ def score_texts(docs: DataFrame, held_out: Column, block: Column | None = None,
         sums = np.zeros((4, KINDS))
         for batch in batches:
             c = batch.column("c").to_numpy().astype(float)
-            at = np.fromiter(map(word_code, batch.column("token").to_pylist()), np.int64, len(c))
+            at = word_codes(batch.column("token").to_pylist())
             for i, x in enumerate((c, c + 0.1, c == 1, np.ones(len(c)))):
                 sums[i] += np.bincount(at, weights=x, minlength=KINDS)
         some = np.flatnonzero(sums[3])
@@ -342,25 +407,21 @@ def score_texts(docs: DataFrame, held_out: Column, block: Column | None = None,
 
     train = docs.select(F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text_col).alias("text")).filter("NOT held_out")
     start = start_weights(train, logits)
-    symbols = list(zip(by_symbol(logits), start.reshape(SYMBOLS, BITS, INPUTS), strict=True))
+    tables = dict(enumerate(by_symbol(logits)))
 
     def score(texts: pa.Table, words: pa.Table) -> pa.Table:
-        tokens, c = words.column("token").to_pylist(), words.column("c").to_numpy().astype(float)
-        index = {w: i for i, w in enumerate(tokens)}
-        codes = np.fromiter(map(word_code, tokens), np.int32, len(tokens))
+        column = texts.column("text").combine_chunks()
+        parts = [token_ids(run) for run in _runs(column, RUN_BYTES)]
+        ids, first, found = _joined(parts)
+        known = words.column("token").combine_chunks()
+        c = words.column("c").to_numpy()[pc.index_in(found, value_set=known).to_numpy()].astype(float)
+        codes = word_codes(found.to_pylist())
         base = np.log10(c + 0.1) - log_all
         inside = np.where(c > 0, log_seen[codes] + np.log10(c + 0.1) - log_mass[codes], log_unseen[codes])
-        column = texts.column("text").combine_chunks()
-        sizes, ids = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-        for some in _runs(column, LIST_BYTES):
-            lists = [words_of(t) for t in some.to_pylist()]
-            sizes.append(np.array([len(x) for x in lists], np.int64))
-            ids.append(np.fromiter(map(index.__getitem__, chain.from_iterable(lists)), np.int32, int(sizes[-1].sum())))
-        sizes, ids = np.concatenate(sizes), np.concatenate(ids)
-        first = np.cumsum(sizes) - sizes
+        sizes = np.diff(np.append(first, len(ids)))
         joined = {"n": sizes, "known": sizes, "base": np.empty(0), "score": np.empty(0)}
         if len(first):
-            bits = sum(mix_bits(codes[ids], first, t, w, symbol)[0] for symbol, (t, w) in enumerate(symbols))
+            bits, _ = mix_symbols(codes[ids], first, tables, start)
             joined["known"] = np.add.reduceat((c[ids] > 0).astype(np.int64), first)
             joined["base"] = np.add.reduceat(base[ids], first)
             joined["score"] = bits / np.log(10) + np.add.reduceat(inside[ids], first)

@@ -143,3 +143,41 @@ def _leaf(word):
     from scriptorium.llm.context_mixing import HASH_BITS, word_code
 
     return word_code(word) >> HASH_BITS
+
+
+def test_tokens_and_codes_of_many_texts_at_once():
+    import pyarrow as pa
+    from scriptorium.llm import context_mixing as M
+
+    texts = ["The  THE\tthe", None, "", " ", "\x0b a\x0cb\r\n", "é É x y", "a\x1cb \x85 \x00", "one", " lead", "trail "]
+    column = pa.array(["before", *texts]).slice(1)
+    ids, first, words = M.token_ids(column)
+    ends = [*first[1:].tolist(), len(ids)]
+    assert [[words[i].as_py() for i in ids[a:b]] for a, b in zip(first, ends, strict=True)] == [words_of(t) for t in texts]
+    kinds = [b"", b"a", b"ab", b"abc", "é".encode(), *(f"w{i}".encode() for i in range(500))]
+    assert M.word_codes(kinds).tolist() == [M.word_code(w) for w in kinds] and M.word_codes([]).tolist() == []
+
+
+def test_symbols_and_groups_of_texts_together_give_what_each_gives_alone(monkeypatch):
+    from scriptorium.llm import context_mixing as M
+
+    rng = np.random.default_rng(9)
+    sizes = rng.integers(1, 40, 23)
+    codes, first = rng.integers(0, M.KINDS, sizes.sum()).astype(np.int32), np.cumsum(sizes) - sizes
+    tables = {s: rng.normal(0, 1, size).astype(np.float32) for s, size in enumerate(M.SIZES)}
+    weights = rng.uniform(0, 0.5, (M.SYMBOLS * BITS, INPUTS))
+    monkeypatch.setattr(M, "LANES", 5)
+    monkeypatch.setattr(M, "SPAN", 16)
+    got, final = M.mix_symbols(codes, first, tables, weights)
+    want, ends = np.zeros(len(first)), np.zeros(weights.shape)
+    for s, table in tables.items():
+        own = slice(s * BITS, (s + 1) * BITS)
+        for i, (a, n) in enumerate(zip(first, sizes, strict=True)):
+            alone, last = mix_bits(codes[a : a + n], np.array([0]), table, weights[own], s)
+            want[i] += alone[0]
+            ends[own] += n * last / sizes.sum()
+    assert np.allclose(got, want, rtol=1e-5) and np.allclose(final, ends, atol=1e-5)
+    counts = np.zeros(2 * sum(M.SIZES), np.int64)
+    M.count_contexts(codes, first, counts)
+    # Every bit of every symbol is counted once in each context table.
+    assert counts.sum() == len(codes) * M.SYMBOLS * BITS * len(M.TABLES)
