@@ -42,8 +42,15 @@ def shingles(line: Column) -> Column:
         each = F.transform(places, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(WORDS)]))
         return F.when(F.size(h) < WORDS, F.array(F.xxhash64(h))).otherwise(each)
 
-    words = F.split(F.btrim(line, F.lit(" \t\n\x0b\f\r")), SPACE)
-    return let(F.transform(words, lambda w: F.xxhash64(w)), rolled)
+    return let(F.transform(line_words(line), lambda w: F.xxhash64(w)), rolled)
+
+
+def line_words(line: Column) -> Column:
+    """Words of a line that has some; single blanks between them need no regular expression."""
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for blank in ("  ", *"\t\n\x0b\f\r"):
+        odd = odd | F.contains(line, F.lit(blank))
+    return F.when(odd, F.split(F.btrim(line, F.lit(" \t\n\x0b\f\r")), SPACE)).otherwise(F.split(line, " "))
 
 
 def line_ref(at: Column, line: Column) -> Column:
@@ -56,7 +63,7 @@ def text_lines(text: Column) -> Column:
 
 
 def _slot(token: Column) -> Column:
-    return F.pmod(token, F.lit(1 << SLOT_BITS)).cast("int")
+    return token.bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
 
 
 def slot_classes(lines: DataFrame) -> Column:
@@ -84,12 +91,15 @@ def line_marks(docs: DataFrame, percent: int) -> DataFrame:
     lines = lines.select("id", "line", line_ref(F.col("at"), F.col("line")).alias("ref"), F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"))
     classes = slot_classes(lines)
 
-    def prefix(tokens: Column) -> Column:
-        n = F.size(tokens)
-        by_rarity = F.transform(tokens, lambda t: F.shiftleft(F.get(classes, _slot(t)).cast("long"), 63 - CLASS_BITS).bitwiseOR(F.shiftrightunsigned(t, CLASS_BITS + 1)))
-        return F.struct(n.alias("n"), F.slice(F.sort_array(by_rarity), 1, n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))
+    def by_rarity(token: Column) -> Column:
+        return F.shiftleft(F.get(classes, _slot(token)).cast("long"), 63 - CLASS_BITS).bitwiseOR(F.shiftrightunsigned(token, CLASS_BITS + 1))
 
-    sets = lines.select("key", "id", "ref", let(F.array_distinct(shingles(F.col("line"))), prefix).alias("s"))
+    # Only what works by element stands in lambdas; taking out repeats, sorting and cutting is compiled.
+    n = F.size("tokens")
+    sets = lines.select("key", "id", "ref", F.array_distinct(shingles(F.col("line"))).alias("tokens"))
+    sets = sets.select("key", "id", "ref", n.alias("n"), F.sort_array(F.transform("tokens", by_rarity)).alias("ordered"))
+    prefix = F.slice("ordered", 1, F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
+    sets = sets.select("key", "id", "ref", F.struct("n", prefix.alias("prefix")).alias("s"))
     first = F.min(F.struct("id", "ref", "s"))
     firsts = staged(sets.groupBy("key").agg(first.alias("first")).select("key", "first.id", "first.ref", "first.s.n", "first.s.prefix"), "line-firsts")
 

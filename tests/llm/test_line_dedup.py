@@ -57,3 +57,17 @@ def test_near_copies_whose_first_line_matches_only_some(spark):
     back = {n: i for i, n in known.items()}
     assert got == {(back[i], n, t) for i, t, n in reference([(known[i], t) for i, t in rows])}
     assert 60 < sum(n for _, n, _ in got) < 180
+
+
+def test_words_of_lines_with_any_blanks(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from scriptorium.llm.line_dedup import line_words
+
+    lines = ["a b c", " a b", "a b ", "a  b", "a\tb c", "a\x0bb", "a\x0cb\r", "one", " one ", "é\x85x y\x1cz", "a \t b"]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", line_words(F.col("line")).alias("w")).collect()
+    assert {r["line"]: r["w"] for r in got} == {x: re.findall(r"[^\x20\x09-\x0D]+", x) for x in lines}
+    # The regular expression is left to lines that need it: both ways stand in the plan.
+    assert line_words(F.lit("a b"))._jc.toString().count("split(") == 2
