@@ -147,11 +147,12 @@ def mix_bits(codes: np.ndarray, first: np.ndarray, table: np.ndarray, weights: n
     return mix_symbols(codes, first, {symbol: table}, weights)
 
 
-def mix_symbols(codes: np.ndarray, first: np.ndarray, tables: dict[int, np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def mix_symbols(codes: np.ndarray, first: np.ndarray, tables: dict[int, np.ndarray], weights: np.ndarray, summed: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Natural logarithms of the probabilities of the symbols in ``tables``, summed by text; the texts' mean final weights by tokens.
 
     Texts are lanes side by side, each with its own weights and recent state to its end.
     The bits of a token share neither weights nor recent state, so they are one step.
+    Without ``summed`` only the weights are worked out, and the sums are zero.
     """
     n = len(codes)
     size = np.diff(np.append(first, n))
@@ -159,7 +160,7 @@ def mix_symbols(codes: np.ndarray, first: np.ndarray, tables: dict[int, np.ndarr
     by_text, final, looked = np.empty(len(first)), np.zeros(weights.T.shape), _Steps(tables, min(LANES, len(first)))
     for begin in range(0, len(order), LANES):
         some = order[begin : begin + LANES]
-        by_text[some], last = _mix_lanes(codes, first[some], size[some], looked, weights)
+        by_text[some], last = _mix_lanes(codes, first[some], size[some], looked, weights, summed)
         final += last.astype(np.float64) @ size[some]
     return by_text, final.T / n if n else weights
 
@@ -192,7 +193,7 @@ class _Steps:
         return inputs, bits, places
 
 
-def _mix_lanes(codes: np.ndarray, start: np.ndarray, size: np.ndarray, looked: _Steps, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _mix_lanes(codes: np.ndarray, start: np.ndarray, size: np.ndarray, looked: _Steps, weights: np.ndarray, summed: bool) -> tuple[np.ndarray, np.ndarray]:
     """The sums of ``mix_symbols`` for texts of falling ``size``, and the weights (input, bit, text) they end with."""
     lanes, most, n = len(start), int(size[0]), len(looked.tables)
     w = np.repeat(weights.T.astype(np.float32)[:, :, None], lanes, 2).reshape(INPUTS, n, BITS, lanes)
@@ -213,24 +214,30 @@ def _mix_lanes(codes: np.ndarray, start: np.ndarray, size: np.ndarray, looked: _
         # A text that has ended within these steps moves nothing and counts for nothing.
         there = at < size[:m]
         signs = (1 - 2 * bits) * there[:, None, None]
-        against = np.empty(bits.shape, np.float32)
-        own_w, product, logit, new = w[..., :m], np.empty((INPUTS, *bits.shape[1:]), np.float32), *np.empty((2, *bits.shape[1:]), np.float32)
+        pull = -RATE * signs
+        against, above = np.empty((2, *bits.shape), np.float32)
+        own_w, product, logit = w[..., :m], np.empty((INPUTS, *bits.shape[1:]), np.float32), np.empty(bits.shape[1:], np.float32)
         for i in range(steps):
-            s, odds = inputs[:, :, i], against[i]
+            s, odds, one_more = inputs[:, :, i], against[i], above[i]
             lately = recent.take(places[i])
             s[-1] = lately
             np.multiply(own_w, s, product)
             np.add.reduce(product, 0, out=logit)
             np.minimum(np.maximum(logit, -20, logit), 20, logit)
-            np.exp(np.multiply(logit, signs[i], logit), logit)
-            np.add(logit, 1, odds)
-            np.multiply(np.divide(logit, odds, logit), np.multiply(signs[i], -RATE, new), logit)
+            np.exp(np.multiply(logit, signs[i], odds), odds)
+            np.add(odds, 1, one_more)
+            np.multiply(np.divide(odds, one_more, logit), pull[i], logit)
             np.add(own_w, np.multiply(s, logit, product), own_w)
             # lately + pace * (bit - 1 / (1 + exp(-lately)))
-            np.divide(pace, np.add(np.exp(lately, new), 1, new), new)
-            np.add(np.add(new, np.multiply(np.subtract(bits[i], 1, logit), pace, logit), new), lately, new)
-            recent[places[i]] = np.minimum(np.maximum(new, -6, new), 6, new)
-        total[:m] -= (np.log(against, against).sum((1, 2), dtype=np.float64) * there).sum(0)
+            np.divide(1, np.add(np.exp(np.negative(lately, logit), logit), 1, logit), logit)
+            np.add(lately, np.multiply(np.subtract(bits[i], logit, logit), pace, logit), logit)
+            recent[places[i]] = np.minimum(np.maximum(logit, -6, logit), 6, logit)
+        if summed:
+            # log1p(odds): the logarithm of 1 + odds, and what its rounding left out.
+            against -= above - 1
+            against /= above
+            against += np.log(above, above)
+            total[:m] -= (against.sum((1, 2), dtype=np.float64) * there).sum(0)
         before, two = code[-1], last[-1]
         t += steps
     return total, w.reshape(INPUTS, -1, lanes)
@@ -294,7 +301,7 @@ def start_weights(texts: DataFrame, logits: np.ndarray) -> np.ndarray:
         for batch in batches:
             for run in _runs(batch.column("text"), RUN_BYTES):
                 ids, first, words = token_ids(run)
-                sums += len(ids) * np.append(1.0, mix_symbols(word_codes(words.to_pylist())[ids], first, tables, first_weights)[1])
+                sums += len(ids) * np.append(1.0, mix_symbols(word_codes(words.to_pylist())[ids], first, tables, first_weights, summed=False)[1])
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names)
 
     trained = texts.select("text").mapInArrow(train, ", ".join(f"{c} double" for c in names))
