@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.bpe import encode_documents
-from scriptorium.llm.common import staged
+from scriptorium.llm.common import staged, without
 from scriptorium.llm.line_dedup import dedup_lines
 from scriptorium.llm.mixing import mix
 from scriptorium.llm.queries import id_crc
@@ -34,7 +34,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     # Rows of one id may lie in several ranges, told apart by any number.
     spread = docs.select(*COLUMNS, F.xxhash64("text", F.monotonically_increasing_id()).alias("_any"))
     ranged = spread.repartitionByRange("doc_id", "_any").sortWithinPartitions("doc_id", "_any")
-    return staged(ranged.select(F.monotonically_increasing_id().alias(ROW), *COLUMNS), "pipeline-rows")
+    return staged(ranged.select(F.monotonically_increasing_id().alias(ROW), *COLUMNS), "pipeline-rows", "zstd")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = keyed(docs)
     scored = score_quality(docs, table(spark, sf_dir, "labels"), id_crc() % 5 == 0, row_col=ROW)
     bad = scored.filter("predicted = 0").select(ROW)
-    return docs.join(bad, ROW, "left_anti").select(ROW, *COLUMNS)
+    return without(docs, bad, ROW, "pipeline-bad").select(ROW, *COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = keyed(docs)
     nodes = jaccard_components(docs, id_col=ROW)
     copies = nodes.filter("component_id < doc_id").select(F.col("doc_id").alias(ROW))
-    return docs.join(copies, ROW, "left_anti").select(ROW, *COLUMNS)
+    return without(docs, copies, ROW, "pipeline-copies").select(ROW, *COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.arrays import let
-from scriptorium.llm.common import staged
+from scriptorium.llm.common import discard, staged
 
 WORDS, SLOT_BITS, CLASS_BITS = 5, 16, 9
 SPACE = r"[\x20\x09-\x0D]+"
@@ -106,8 +106,10 @@ def line_marks(docs: DataFrame, percent: int) -> DataFrame:
     posts = firsts.select("id", "ref", "n", F.posexplode("prefix").alias("at", "token"))
     posts = posts.select("token", "id", "ref", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
     # Most tokens are one line's: only lists of two lines or more are kept.
-    lists = posts.groupBy("token").agg(F.count("*").alias("lines")).filter("lines > 1").select("token")
+    lists = staged(posts.groupBy("token").agg(F.count("*").alias("lines")).filter("lines > 1").select("token"), "line-lists")
     posts = staged(posts.join(lists, "token"), "line-posts")
+    marks = staged(firsts.select(_key("id").alias("k"), "ref", F.lit(None).cast("long").alias("near")), "line-marks")
+    discard(firsts, lists)
 
     # The full sets of all lines in lists serve both rounds.
     wanted = posts.select("id", "ref").distinct().groupBy(_key("id").alias("k")).agg(F.collect_set("ref").alias("refs"))
@@ -124,9 +126,9 @@ def line_marks(docs: DataFrame, percent: int) -> DataFrame:
     # Second round: the lines still open meet all earlier lines of their lists.
     still = posts.join(near, [F.col("id").eqNullSafe(F.col("b_id")), F.col("ref") == F.col("b_ref")], "left_anti")
     pairs = _side(posts, "a").join(_side(still, "b"), "token").filter(_reach(percent)).select(*ENDS).distinct()
-    near = near.union(staged(_verified(pairs, full, percent), "line-near")).select(F.col("b_id").alias("id"), F.col("b_ref").alias("ref"))
-    marks = firsts.select(_key("id").alias("k"), "ref", F.lit(None).cast("long").alias("near"))
-    marks = marks.union(near.select(_key("id").alias("k"), F.lit(None).cast("long"), "ref"))
+    more = staged(_verified(pairs, full, percent), "line-near")
+    discard(posts, full)
+    marks = marks.union(near.union(more).select(_key("b_id").alias("k"), F.lit(None).cast("long"), F.col("b_ref")))
     return marks.groupBy("k").agg(F.collect_set("ref").alias("firsts"), F.collect_set("near").alias("near"))
 
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import staged
+from scriptorium.llm.common import BROADCAST_IDS, discard, staged
 from scriptorium.llm.graph import components
 
 WORDS, SLOT_BITS, HOT = 5, 22, 64
@@ -41,8 +41,6 @@ SLOTS, CLASSES = 1 << 13, 16
 KEPT_WORDS, PROFILE = 200_000, 192
 # A worker holds the sets of so many bytes of text at one time.
 PART_BYTES = 2_000_000
-# Up to this many ids a list of documents is broadcast (16 MB), beyond it is joined by shuffle.
-BROADCAST_IDS = 1_000_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -194,7 +192,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     sets = staged(texts.mapInArrow(full, "id long, tokens binary"), "join-sets")
     a, b = (sets.select(F.col("id").alias(f"{s}_id"), F.col("tokens").alias(f"{s}_tokens")) for s in "ab")
     both = pairs.join(a, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id"))
-    return staged(both.select("a", "b", "a_tokens", "b_tokens").mapInArrow(check, "a long, b long"), "join-links")
+    links = staged(both.select("a", "b", "a_tokens", "b_tokens").mapInArrow(check, "a long, b long"), "join-links")
+    discard(sets, asked)
+    return links
 
 
 def _profile(tokens: np.ndarray) -> bytes:
